@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, mixing
+from textmill.llm import decontaminate, mixing, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,16 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
+def op8_neardup(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op8_neardup": op8_neardup, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
