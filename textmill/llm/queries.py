@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, mixing, neardup
+from textmill.llm import decontaminate, langid, mixing, neardup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,17 @@ def op8_neardup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"))
 
 
+def op9_langid(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op8_neardup": op8_neardup, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
