@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, langid, mixing, neardup
+from textmill.llm import decontaminate, langid, mixing, neardup, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
+def op5_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.sanitise(table(spark, d, "documents"))
+
+
 def op8_neardup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"))
 
@@ -29,7 +33,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op5_pii": op5_pii, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
