@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, langid, mixing, neardup, pii
+from textmill.llm import decontaminate, langid, mixing, neardup, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.sanitise(table(spark, d, "documents"))
 
 
+def op6_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.judge(table(spark, d, "documents"))
+
+
 def op8_neardup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"))
 
@@ -33,7 +37,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op5_pii": op5_pii, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
+    return {"op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
