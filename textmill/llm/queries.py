@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, langid, mixing, neardup, pii, quality
+from textmill.llm import decontaminate, langid, maxent, mixing, neardup, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_maxent(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return maxent.score(docs, maxent.train(docs))
+
+
 def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
@@ -37,7 +42,7 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
+    return {"op2_maxent": op2_maxent, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
