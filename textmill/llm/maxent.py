@@ -18,6 +18,7 @@ arithmetic, and each block's first words still see the words before.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ CLASSES = MEMBERS = 32
 TAIL, TAIL_BEFORE = 32, 4
 SLOT_BITS = 16
 ROWS_CLASS, ROWS_MEMBER = 1 << 13, 1 << 15
-#: Tokens to a gradient step.
-BLOCK = 1 << 18
+#: Tokens to a gradient step: a task's first, and its largest; each is twice the one before until then.
+FIRST, BLOCK = 1 << 13, 1 << 18
+#: What AdaGrad adds to the sum of squares: rows met seldom learn less.
+CALM = 1e-10
 #: Rows of a table that travel together.
 STRIP = 256
 _START = CLASSES * MEMBERS
@@ -93,6 +96,7 @@ def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray
     n = np.bincount(which, times, rows.shape[1]).astype(np.float32)
     gradient = np.exp(log_p) * -n[:, None]
     gradient[which, target] += times.astype(np.float32)
+    gradient /= n.sum()
     for r in rows:
         order = np.argsort(r, kind="stable")
         r = r[order]
@@ -100,12 +104,13 @@ def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray
         own, g = r[first], np.add.reduceat(gradient[order], first, axis=0)
         met[own] += np.add.reduceat(n[order], first)
         seen[own] += np.square(g).mean(axis=1)
-        table[own] += rate * g / np.sqrt(seen[own] + 1e-8)[:, None]
+        table[own] += rate * g / np.sqrt(seen[own] + CALM)[:, None]
 
 
-def _blocks(column, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(context, symbol, row) of all tokens, a block at a time; rows count on over the batch."""
-    held, n = [], 0
+    held, n, sizes = [], 0, sizes or itertools.repeat(BLOCK)
+    size = next(sizes)
     for lo, hi, t in tokens_in(column):
         if len(t.hash):
             s = symbol[(t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -118,14 +123,22 @@ def _blocks(column, symbol: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
             w2[second] = _START
             held.append((w2 * 2048 + w1, s, row + lo))
             n += len(s)
-        while n >= BLOCK:
+        while n >= size:
             parts = [np.concatenate(x) for x in zip(*held)]
-            yield tuple(x[:BLOCK] for x in parts)
-            held, n = [tuple(x[BLOCK:] for x in parts)], n - BLOCK
+            yield tuple(x[:size] for x in parts)
+            held, n = [tuple(x[size:] for x in parts)], n - size
+            size = next(sizes)
     if n:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
+def _growing() -> Iterator[int]:
+    size = FIRST
+    while True:
+        yield size
+        size = min(2 * size, BLOCK)
+
+
 def _events(context: np.ndarray, s: np.ndarray):
     """Distinct contexts, distinct (context, class) pairs and distinct events, each with what it points to."""
     events, inverse, times = np.unique(context * 1024 + s, return_inverse=True, return_counts=True)
@@ -143,8 +156,9 @@ def train_pass(docs: DataFrame, weights: Weights, rate: float) -> DataFrame:
         tables = [t.copy() for t in start.tables]
         seen = [np.zeros(len(t), np.float32) for t in tables]
         met = [np.zeros(len(t), np.float32) for t in tables]
+        sizes = _growing()
         for b in batches:
-            for context, s, _ in _blocks(b.column(0), start.symbol):
+            for context, s, _ in _blocks(b.column(0), start.symbol, sizes):
                 contexts, pairs, ctx, events, pair, times, _ = _events(context, s)
                 pair_times = np.bincount(pair, times, len(pairs))
                 _step(tables[0], seen[0], met[0], features(contexts, CLASSES, ROWS_CLASS), ctx, pairs % CLASSES, pair_times, rate)
