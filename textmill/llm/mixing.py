@@ -46,10 +46,22 @@ def budgets(totals: DataFrame, total_tokens: int | None, weights: dict[str, int]
     return w.withColumn("budget", F.col("base") + extra).selectExpr("src", "budget", "budget div total full", "budget % total rest")
 
 
+def _group(source_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
+
+
+def _key(seed: int, id_col: str, text_col: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_tokens: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each document and epoch that is taken: its place in its source (``start_token``), its tokens, and how many of them are taken."""
-    text, name = F.coalesce(F.col(text_col), F.lit("")), F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("src"), token_count(F.col(text_col)).alias("n"), F.md5(F.concat(name, F.md5(text))).alias("key")).where("n > 0")
+    return plan(docs, weights, total_tokens, seed, id_col, text_col, source_col).select("doc_id", F.when(F.col("src") != "", F.expr("substr(src, 2)")).alias("source"), "epoch", "start_token", "n_tokens", "take_tokens")
+
+
+def plan(docs: DataFrame, weights: dict[str, int] | None, total_tokens: int | None, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """As ``mix_sources``, with the group (``src``) and key of each document."""
+    keyed = docs.select(F.col(id_col).alias("doc_id"), _group(source_col).alias("src"), token_count(F.col(text_col)).alias("n"), _key(seed, id_col, text_col).alias("key")).where("n > 0")
     ranges = keyed.groupBy("src", F.substring("key", 1, RANGE_DIGITS).alias("range")).agg(F.sum("n").alias("tokens"))
     ranges = ranges.withColumn("before", F.sum("tokens").over(Window.partitionBy("src").orderBy("range")) - F.col("tokens"))
     weights = weights and {f"={k}" if k is not None else "": v for k, v in weights.items()}
@@ -59,7 +71,15 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_to
     placed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("inner", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(place, ["src", "range"]).withColumn("start", F.col("before") + F.col("inner"))
     last = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rest") - F.col("start")))
     taken = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, full)"))).withColumn("take", F.when(F.col("epoch") < F.col("full"), F.col("n")).otherwise(last)).where("take > 0")
-    return taken.select("doc_id", F.when(F.col("src") != "", F.expr("substr(src, 2)")).alias("source"), "epoch", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), F.col("take").alias("take_tokens"))
+    return taken.select("doc_id", "src", "key", "epoch", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), F.col("take").alias("take_tokens"))
+
+
+def mix_texts(docs: DataFrame, weights: dict[str, int] | None = None, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
+    """The mixture itself: as ``mix_sources``, with language and text, which ends after the last token that is taken. Texts are shuffled once, by the key that the plan is joined on."""
+    own = docs.select(_group("source").alias("src"), _key(seed, "doc_id", "text").alias("key"), "lang", "text").groupBy("src", "key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    cut = F.when(F.col("take_tokens") == F.col("n_tokens"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[ \\t\\n\\r\\f]*{WORD}"), F.lit(0)), F.lit(1), F.col("take_tokens").cast("int")), ""))
+    mixed = plan(docs, weights, total_tokens, seed, "doc_id", "text", "source").join(own, ["src", "key"])
+    return mixed.select("doc_id", F.when(F.col("src") != "", F.expr("substr(src, 2)")).alias("source"), "lang", "epoch", "start_token", "n_tokens", "take_tokens", cut.alias("text"))
 
 
 SQL = r"""

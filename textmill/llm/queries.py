@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textmill.llm import decontaminate, langid, maxent, mixing, neardup, pii, quality
+from textmill.llm import chat, decontaminate, langid, maxent, mixing, neardup, pii, quality, rollup, warc
+from textmill.llm.common import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages"), Workspace(spark, "warc"))
+
+
 def op2_maxent(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return maxent.score(docs, maxent.train(docs))
@@ -20,6 +25,10 @@ def op3_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(table(spark, d, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.maintain(table(spark, d, "documents"), table(spark, d, "labels"), rollup.Rollup(spark, Workspace(spark, "rollup").path))
+
+
 def op5_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.sanitise(table(spark, d, "documents"))
 
@@ -28,6 +37,10 @@ def op6_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "documents"))
 
 
+def op7_chat(spark: SparkSession, d: str) -> DataFrame:
+    return chat.locate(table(spark, d, "conversations"))
+
+
 def op8_neardup(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, d, "documents"))
 
@@ -42,8 +55,9 @@ def op10_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_maxent": op2_maxent, "op3_mixing": op3_mixing, "op5_pii": op5_pii, "op6_quality": op6_quality, "op8_neardup": op8_neardup, "op9_langid": op9_langid, "op10_decontamination": op10_decontamination}
+    own = [op1_warc, op2_maxent, op3_mixing, op4_token_counts, op5_pii, op6_quality, op7_chat, op8_neardup, op9_langid, op10_decontamination]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SQL}
+    return {"op1_warc": warc.SQL, "op3_mixing": mixing.SQL, "op4_token_counts": rollup.SQL}
