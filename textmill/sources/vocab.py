@@ -58,7 +58,12 @@ def build_decoder(encoder: dict[bytes, int]) -> dict[int, bytes]:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, line) of a file; a vocabulary is one small file, numbered as it stands."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
+    return numbered(spark.read.text(path, wholetext=True))
+
+
+def numbered(whole: DataFrame) -> DataFrame:
+    """(line_no, line) of a whole text in ``value``."""
+    return whole.select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where("line <> ''")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
