@@ -185,5 +185,5 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     again = ws.stash(found.where("keep").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
     if again.isEmpty():
         return kept
-    is_again = docs["doc_id"].eqNullSafe(F.col("again_id"))
+    is_again = docs["doc_id"].eqNullSafe(again["again_id"])
     return kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -11,7 +11,8 @@ x IC is removed, wherever it stands in a document that mentions the entity. An e
 Only mentions, their neighbours and counts are shuffled, and the texts of those documents that mention anything.
 
 Defined results: a null text stays null, an empty one empty. A text without a mention is returned as it was, byte for byte. Repeated rows
-are sanitised alike. Null ids don't matter. ``n_chars``, if there is one, counts the new text; all other columns stay as they are.
+are sanitised alike. Null ids don't matter. ``n_chars``, if there is one, counts the new text; all other columns stay as they are,
+but for those named like a column of the report, which takes their place.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from textmill.llm.common import Workspace, mix, strings, tokens_in
+from textmill.llm.common import Workspace, mix, strings, tokens_in, unused
 
 #: Kinds of entities and their patterns; the first that matches at a place wins. All ignore case, and none can match without a bound.
 PATTERNS = {
@@ -176,10 +177,11 @@ def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: in
 
         return pd.DataFrame([rewrite(t, look, dict(a) if a is not None else {}) for t, a in zip(text, actions)], columns=["text", "entities", "generalised", "removed"])
 
-    names = docs.columns
-    uids = "textmill_uid"
-    marked = docs.where(maybe).withColumn(uids, uid).join(by_row.withColumnRenamed("uid", uids), uids, "left").withColumn("textmill_new", cleaned("text", "actions"))
     counts = ["entities", "generalised", "removed"] if report else []
-    new = {"text": F.col("textmill_new.text")} | ({"n_chars": F.when(F.col("textmill_new.entities") > 0, F.char_length("textmill_new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
-    changed = marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names], *[F.col(f"textmill_new.{c}") for c in counts])
+    names = [c for c in docs.columns if c.lower() not in counts]
+    docs = docs.select(*[F.col(f"`{c}`") for c in names])
+    uids, actions, fresh = (unused(docs, x) for x in ("uid", "actions", "new"))
+    marked = docs.where(maybe).withColumn(uids, uid).join(by_row.select(F.col("uid").alias(uids), F.col("actions").alias(actions)), uids, "left").withColumn(fresh, cleaned("text", actions))
+    new = {"text": F.col(f"{fresh}.text")} | ({"n_chars": F.when(F.col(f"{fresh}.entities") > 0, F.char_length(f"{fresh}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
+    changed = marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names], *[F.col(f"{fresh}.{c}") for c in counts])
     return docs.where(~F.coalesce(maybe, F.lit(False))).select("*", *[F.lit(0).alias(c) for c in counts]).union(changed)
