@@ -10,9 +10,9 @@ A query first adds up, over all shards, in how many places each test term stands
 ``phrase`` tokens of a test item is then looked up from its rarest term on: the term's places less the
 term's offset are where the run could begin; the next rarest term's places, less its offset, are
 intersected with them, and so on until none is left or all terms agree. For proximity, the ``anchors`` rarest
-terms of an item are taken; where at least ``agree`` of them stand in one document with
+terms of an item are taken; where a share of ``agree`` of them, and ``least`` at least, stand in one document with
 offset-adjusted places that differ by no more than ``slop``, the item is near, in the item's order but for inserted,
-dropped or changed words between.
+dropped or changed words between. A copy lacks the very words that were changed in it, and those may be the rarest, so the anchors are many.
 
 Defined results: null and empty texts, of documents or items, match nothing. An item shorter than ``phrase`` tokens, but
 of at least ``shortest``, is one run of its own length; a shorter one only matches nothing. Null ids are reported
@@ -21,6 +21,7 @@ as null. Rows that repeat are matched each and reported once. Very long texts ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,7 +155,7 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: int = 8, anchors: int = 8, agree: int = 6, slop: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: int = 8, anchors: int = 24, agree: float = 0.6, least: int = 6, slop: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item that match, of kind ``exact`` (``matched``: runs of ``phrase`` tokens found, with the place of the first) and of kind ``near`` (``matched``: anchors that agree)."""
     test = benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull()).distinct().orderBy(item_col, text_col)
     spark, out = index.sparkSession, None
@@ -167,12 +168,12 @@ def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: in
     for rows in [*rounds, batch]:
         items = _items(rows, phrase, shortest)
         if items:
-            found = _match_round(spark, index, items, phrase, anchors, agree, slop)
+            found = _match_round(spark, index, items, phrase, anchors, agree, least, slop)
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], MATCH) if out is None else out
 
 
-def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, anchors: int, agree: int, slop: int) -> DataFrame:
+def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, anchors: int, agree: float, least: int, slop: int) -> DataFrame:
     terms = np.unique(np.concatenate([h for _, h in items]))
     count = term_counts(index, terms)
     runs: dict[bytes, list] = {}
@@ -184,8 +185,8 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
             runs.setdefault(t[o : o + n].astype(np.int32).tobytes(), []).append((k, o))
         rare = np.lexsort((np.arange(len(t)), count[t]))
         rare = rare[np.sort(np.unique(t[rare], return_index=True)[1])][:anchors]  # distinct terms
-        if len(rare) >= agree:
-            near.append((k, rare.astype(np.int32), t[rare].astype(np.int32)))
+        if len(rare) >= least:
+            near.append((k, rare.astype(np.int32), t[rare].astype(np.int32), max(least, math.ceil(agree * len(rare)))))
     by_size: dict[int, list] = {}
     for key, where in runs.items():
         by_size.setdefault(len(key) // 4, []).append((np.frombuffer(key, np.int32), where))
@@ -228,9 +229,9 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
                                     x = found.setdefault((doc, item, "exact"), [set(), p, off])
                                     x[0].add(off)
                                     x[1:] = min((x[1], x[2]), (p, off))
-                for item, offs, ts in near:
+                for item, offs, ts, needed in near:
                     here = np.flatnonzero(at[ts] >= 0)
-                    if len(here) < agree:
+                    if len(here) < needed:
                         continue
                     pl = [places(ts[j]) for j in here]
                     diag = np.concatenate([p - offs[j] for p, j in zip(pl, here)])
@@ -242,9 +243,9 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
                     # every window of places that begins at a posting: its end by search, and only those with enough postings
                     step = doc * np.int64(1 << 40) + diag
                     end = np.searchsorted(step, step + slop, "right")
-                    for i in np.flatnonzero(end - np.arange(len(end)) >= agree):
+                    for i in np.flatnonzero(end - np.arange(len(end)) >= needed):
                         n = len(set(which[i : end[i]].tolist()))
-                        if n >= agree:
+                        if n >= needed:
                             x = found.setdefault((int(doc[i]), item, "near"), [n, 1 << 40, 0])
                             p = int(pos[i : end[i]].min() - s.begins[doc[i]])
                             x[0], x[1] = max(x[0], n), min(x[1], p)

@@ -5,7 +5,8 @@ away as well: let a token of the corpus be *near* an entity if it stands within
 its mentions. Over all tokens, an entity's information content is IC(e) = -log2 P(near e), and what
 a term t tells of it is PMI(e; t) = log2(P(near e | t) / P(near e)), at most IC(e), when t stands nowhere else. A term with PMI >= ``generalise``
 x IC is generalised (a number to ``[NUMBER]``, any other term to ``[TERM]``), and one with PMI >= ``remove``
-x IC is removed, wherever it stands in a document that mentions the entity. An estimate needs
+x IC is removed, wherever it stands in a document that mentions the entity. Tokens that are part of a mention
+aren't occurrences of a term. An estimate needs
 ``support`` distinct contexts in which t is near e, so neither a word seen once nor the copies of one passage count for much. Counts are over all documents.
 
 Only mentions, their neighbours and counts are shuffled, and the texts of those documents that mention anything.
@@ -49,7 +50,7 @@ def finder(patterns: dict[str, str]) -> re.Pattern:
 
 
 def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFrame:
-    """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``."""
+    """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``, and entity is null for the tokens of mentions themselves."""
     look = finder(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,6 +75,7 @@ def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFram
                     for s, e in spans:
                         inside[max(0, np.searchsorted(t.end[first:last], s, "right")) : np.searchsorted(t.start[first:last], e, "left")] = True
                     free = first + np.flatnonzero(~inside)
+                    rows += [(uids[lo + r], None, None, h, 0, 1) for h in t.hash[first:last][inside].view(np.int64).tolist()]
                     for (k, value, _, _), (s, e) in zip(found, spans):
                         before = free[: np.searchsorted(t.start[free], s)][-window:]
                         after = free[np.searchsorted(t.start[free], e) :][:window]
@@ -121,11 +123,13 @@ def occurrences(docs: DataFrame, terms: DataFrame, watched: int = WATCHED_TERMS)
 
 def disclosures(docs: DataFrame, found: DataFrame, ws: Workspace, generalise: float, remove: float, support: int) -> DataFrame:
     """(entity, term, action) for each term that gives an entity away."""
-    near = found.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    near = found.where("term is null and entity is not null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     pairs = found.where("term is not null").groupBy("entity", "term", "hash").agg(F.count("*").alias("n_pair"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = ws.stash(pairs, "pairs")
     counts = ws.stash(occurrences(docs, pairs.select("hash").distinct()), "counts")
     total = counts.where("hash is null").agg(F.sum("total")).first()[0] or 1
+    inside = found.where("entity is null").groupBy("hash").agg(F.sum("n").alias("inside"))
+    counts = counts.join(inside, "hash", "left").withColumn("total", F.col("total") - F.coalesce("inside", F.lit(0)))
     share = pairs.join(near, "entity").join(counts, "hash").withColumn("p", F.least(F.lit(1.0), F.col("n_entity") / F.lit(total)))
     ic, pmi = -F.log2("p"), F.log2(F.least(F.lit(1.0), F.col("n_pair") / F.col("total")) / F.col("p"))
     share = share.withColumns({"ic": ic, "pmi": pmi}).where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
@@ -167,7 +171,7 @@ def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: in
     found = ws.stash(mentions(docs.where(maybe).select(uid.alias("uid"), F.col("text").cast("string")), patterns, window), "mentions", compression="zstd")
     bad = disclosures(docs.select("text"), found, ws, generalise, remove, support)
     # a term that one entity wants removed and another generalised is removed
-    worst = found.select("uid", "entity").distinct().join(bad, "entity", "left").groupBy("uid", "term").agg(F.max("action").alias("action"))
+    worst = found.where("entity is not null").select("uid", "entity").distinct().join(bad, "entity", "left").groupBy("uid", "term").agg(F.max("action").alias("action"))
     by_row = ws.stash(worst.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "action")))).alias("actions")), "actions")
     look = finder(patterns)
 
