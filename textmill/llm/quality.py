@@ -229,7 +229,7 @@ def judge(docs: DataFrame, below: float = 8.0, above: float = 8.0, shortest: int
     off = long.join(middle, F.col("lang").eqNullSafe(F.col("of"))).select("of", "middle", F.abs(F.col("log_perplexity") - F.col("middle")).alias("off"))
     band = off.groupBy("of").agg(F.first("middle").alias("middle"), (F.percentile_approx("off", 0.5, 100_000) * 1.4826).alias("off"))
     band = ws.stash(band, "bands")
-    wide = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(typical)) / F.col("n_symbols"))) * F.col("off")
+    wide = F.greatest(F.lit(1.0), F.sqrt(F.lit(float(typical)) / F.greatest("n_symbols", F.lit(1)))) * F.col("off")
     lower, upper = F.exp(F.col("middle") - below * wide), F.exp(F.col("middle") + above * wide)
     ppl = F.exp("log_perplexity")
     keep = (F.col("n_symbols") < shortest) | ppl.between(lower, upper)
