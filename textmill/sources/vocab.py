@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from textmill.errors import VocabError
 
 LIMIT = (1 << 31) - 1
+#: With its padding, which Spark's decoder would do without.
+_BASE64 = r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 
 
 def parse(data: bytes) -> list[tuple[bytes, int]]:
@@ -69,9 +71,10 @@ def numbered(whole: DataFrame) -> DataFrame:
 def parsed(lines: DataFrame) -> DataFrame:
     """(token, rank, line_no); a bad line is an error when it is read."""
     left, right = F.regexp_extract("line", "(?s)^(.*) ([^ ]*)$", 1), F.trim(F.regexp_replace(F.regexp_extract("line", "(?s)^(.*) ([^ ]*)$", 2), r"\s", " "))
-    ok = F.col("line").contains(" ")
-    rank = F.when(ok & right.rlike(r"^\+?[0-9]+$"), right.cast("int")).otherwise(F.raise_error(F.concat(F.lit("bad line in a vocabulary: "), "line")).cast("int"))
-    return lines.select(F.to_binary(left, F.lit("base64")).alias("token"), rank.alias("rank"), F.col("line_no").cast("bigint").alias("line_no"))
+    bad = F.raise_error(F.concat(F.lit("bad line in a vocabulary: "), "line"))
+    rank = F.when(F.col("line").contains(" ") & right.rlike(r"^\+?[0-9]+$"), right.cast("int")).otherwise(bad.cast("int"))
+    token = F.when(left.rlike(_BASE64), F.to_binary(left, F.lit("base64"))).otherwise(bad.cast("binary"))
+    return lines.select(token.alias("token"), rank.alias("rank"), F.col("line_no").cast("bigint").alias("line_no"))
 
 
 def read_vocab(spark: SparkSession, path: str, duplicates: str = "last") -> DataFrame:
