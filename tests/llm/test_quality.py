@@ -59,7 +59,7 @@ class Plain:
 def test_against_the_definition(spark):
     texts = [words(k, 60, 40) + f" Année {k}" for k in range(12)]
     other = ["completely different words, isn't it?", texts[0][:80], "zzz qqq 999"]
-    model = quality.fit(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), Workspace(spark, "t"))
+    model = quality.fit(quality.count_runs(table(spark, [(k, t, "en") for k, t in enumerate(texts)])))
     plain = Plain(texts)
     got = quality.perplexities(table(spark, [(k, t, "en") for k, t in enumerate(texts + other)]), model).orderBy("doc_id").collect()
     for r, t in zip(got, texts + other):
@@ -69,7 +69,7 @@ def test_against_the_definition(spark):
 
 def test_probabilities_add_up(spark):
     texts = [words(k, 60, 40) for k in range(12)]
-    model = quality.fit(table(spark, [(k, t, "en") for k, t in enumerate(texts)]), Workspace(spark, "t"))
+    model = quality.fit(quality.count_runs(table(spark, [(k, t, "en") for k, t in enumerate(texts)])))
     seen = sorted(set("".join(texts)))
     c, _ = quality.symbols(pa.array(["".join(seen).replace(" ", "")], pa.large_string()))
     alphabet = np.unique(np.append(c, [32, ord("q")])).astype(np.uint64)  # q stands for all that is unseen
@@ -89,6 +89,12 @@ def test_counts_against_a_loop(spark):
     assert got == Counter({"en": sum(len(read(t)) for _, t, x in texts if x), "": sum(len(read(t)) for _, t, x in texts if not x)})
 
 
+def test_rounds_don_t_show(spark):
+    docs = table(spark, [(k, words(k, 50, 30), ["en", "de", None, "fr"][k % 4]) for k in range(24)] + [(99, "", "it"), (100, None, "es")])
+    one, many = (quality.score(docs, Workspace(spark, "t"), most=n) for n in (10**9, 1))
+    assert rows(one) == rows(many) and one.count() == 26
+
+
 def test_bands_reject_junk_and_keep_the_rest(spark):
     r = random.Random(3)
     good = [(k, words(k, 200, 60), "en") for k in range(150)]

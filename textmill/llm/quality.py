@@ -5,7 +5,8 @@ before the first. Spark counts the runs of ``ORDER`` symbols over all documents
 shorter runs are continuation counts, each run counting once for every symbol that it follows. Discounts for
 counts of one, two, and three or more come from the counts of counts. The model is a sorted array of 64-bit hashes for each length
 with the interpolated probabilities, and one with the weights that a context gives to the shorter one.
-Where there are more than ``most`` runs, the rarest counts are left out, as few as will do; so what goes to every task is bounded.
+What goes to every task is the model of some languages, of ``ROUND_RUNS`` runs in all or of one language, and only their documents are scored with it;
+then those of the next. A language's distinct runs of five characters become few compared with its text as that grows. Runs that occur fewer than ``least`` times (1: none) can be left out.
 
 A language's band is the median of its documents' log-perplexities, less ``below`` and plus ``above`` times their median deviation
 from it (times 1.4826, the ratio of standard to median deviation of a normal distribution). What lies outside is rejected.
@@ -31,6 +32,8 @@ ORDER = 5
 _BITS = 12
 _MASK = np.uint64((1 << _BITS) - 1)
 PIECE = 1 << 20
+#: Runs of the languages that are scored together.
+ROUND_RUNS = 20_000_000
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,12 +178,9 @@ class KneserNey:
         return out
 
 
-def fit(docs: DataFrame, ws: Workspace, most: int = 20_000_000) -> KneserNey:
-    counted = ws.stash(count_runs(docs), "runs", compression="zstd")
-    least = 1
-    while counted.where(F.col("n") >= least).count() > most:
-        least += 1
-    reader = counted.where(F.col("n") >= least).toArrow()
+def fit(counted: DataFrame) -> KneserNey:
+    """The model of all languages whose runs (lang, run, n) are given."""
+    reader = counted.toArrow()
     names = pa.array(reader["lang"].to_pandas(), pa.string()).dictionary_encode()
     code = names.indices.to_numpy(zero_copy_only=False)
     run, n = reader["run"].to_numpy().view(np.uint64), reader["n"].to_numpy()
@@ -190,10 +190,22 @@ def fit(docs: DataFrame, ws: Workspace, most: int = 20_000_000) -> KneserNey:
         own = code == names.dictionary.to_pylist().index(lang)
         order = np.argsort(run[own])
         tables[lang] = (run[own][order], n[own][order])
-    ws.drop("runs")
     return KneserNey(langs, tables)
 
 
+def rounds(counted: DataFrame, most: int) -> list[list[str]]:
+    """The languages, in groups of ``most`` runs or of one language."""
+    out: list[list[str]] = [[]]
+    n = 0
+    for r in counted.groupBy("lang").count().orderBy("lang").collect():
+        if out[-1] and n + r["count"] > most:
+            out.append([])
+            n = 0
+        out[-1].append(r["lang"])
+        n += r["count"]
+    return out
+
+
 def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     """(doc_id, lang, n_symbols, log_perplexity) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,10 +232,23 @@ def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang string, n_symbols bigint, log_perplexity double")
 
 
-def judge(docs: DataFrame, below: float = 8.0, above: float = 8.0, shortest: int = 100, typical: int = 1000, most: int = 20_000_000) -> DataFrame:
+def score(docs: DataFrame, ws: Workspace, least: int = 1, most: int = ROUND_RUNS) -> DataFrame:
+    """Perplexities of all documents, each under its language's model."""
+    counted = ws.stash(count_runs(docs).where(F.col("n") >= least), "runs", compression="zstd")
+    groups, lang, out = rounds(counted, most), F.coalesce("lang", F.lit("")), None
+    for k, group in enumerate(groups):
+        others = [x for g in groups if g is not group for x in g]
+        # documents of languages without any runs are in the first group
+        own = docs if not others else docs.where(~lang.isin(others)) if k == 0 else docs.where(lang.isin(group))
+        scored = ws.stash(perplexities(own, fit(counted.where(F.col("lang").isin(group)))), f"scores-{k}")
+        out = scored if out is None else out.union(scored)
+    return out
+
+
+def judge(docs: DataFrame, below: float = 8.0, above: float = 8.0, shortest: int = 100, typical: int = 1000, least: int = 1) -> DataFrame:
     """A row for each document: its perplexity, its language's band, and whether it is kept."""
     ws = Workspace(docs.sparkSession, "quality")
-    scored = ws.stash(perplexities(docs, fit(docs, ws, most)), "scores")
+    scored = score(docs, ws, least)
     long = scored.where(F.col("n_symbols") >= shortest)
     middle = long.groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("log_perplexity", 0.5, 100_000).alias("middle"))
     off = long.join(middle, F.col("lang").eqNullSafe(F.col("of"))).select("of", "middle", F.abs(F.col("log_perplexity") - F.col("middle")).alias("off"))
