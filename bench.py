@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from textmill.plans import queries as q
 
 HEADLINE = {
-    "encode_raw": lambda s, d: q.table(s, d, "documents").select("doc_id", q.raw().encode_col("text")),
-    "encode_bytelevel": lambda s, d: q.table(s, d, "documents").select("doc_id", q.mapped().encode_col("text")),
-    "encode_sentencepiece": lambda s, d: q.table(s, d, "documents").select("doc_id", q.pieces().encode_col("text")),
-    "encode_relational": lambda s, d: q.raw().encode_df(q.table(s, d, "documents"), strategy="relational"),
+    "encode_raw": lambda s, d: q.documents(s, d).select("doc_id", q.raw().encode_col("text")),
+    "encode_bytelevel": lambda s, d: q.documents(s, d).select("doc_id", q.mapped().encode_col("text")),
+    "encode_sentencepiece": lambda s, d: q.documents(s, d).select("doc_id", q.pieces().encode_col("text")),
+    "encode_relational": lambda s, d: q.raw().encode_df(q.documents(s, d), strategy="relational"),
     "encode_with_special": lambda s, d: q.thoughts(s, d).select("turn_id", q.raw().encode_col("text", with_special=True)),
     "split_cl100k": q.queries()["split_cl100k"],
     "split_o200k": q.queries()["split_o200k"],

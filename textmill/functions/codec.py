@@ -1,7 +1,7 @@
 """What a tokenizer knows, in a form that goes to the Python workers, and the Arrow functions that use it.
 
-A batch is turned into distinct chunks first; each is encoded once and kept for the batches to come. The
-rest is gathering by number, so a text costs no Python step for each of its chunks.
+A batch is turned into distinct chunks first, all of which are merged at once. The rest is gathering by
+number, so a text costs no Python step for any of its chunks.
 """
 
 from __future__ import annotations
@@ -13,13 +13,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from textmill.functions.bpe import byte_pair_encode
-from textmill.functions.bytelevel import byte_level_decode_bytes, byte_level_encode
+from textmill.functions.bulk import Merger, gather
+from textmill.functions.bytelevel import ALPHABET, byte_level_decode_bytes, byte_level_encode
 
 RAW, BYTE_LEVEL, SENTENCEPIECE = "raw", "byte_level", "sentencepiece"
 SPACE = "▁".encode()
 _BLANK = b" \t\n\x0c\r"
-#: Chunks that a worker keeps at most before it forgets them all.
+#: Chunks that are kept at most before all are forgotten.
 KEPT = 1 << 20
+_CHARS = [c.encode() for c in ALPHABET]
+_SIZES = np.array([len(c) for c in _CHARS], np.int64)
+#: The characters of all bytes, one after another, where each begins, and its size.
+_MAPPED = np.frombuffer(b"".join(_CHARS), np.uint8), np.cumsum(_SIZES) - _SIZES, _SIZES
 
 
 @dataclass
@@ -92,22 +97,48 @@ class Codec:
             pending = pending + n if adds else n
         return out + self.piece(SPACE * pending) if pending else out
 
+    def _merger(self) -> Merger:
+        if "merger" not in self.kept:
+            self.kept["merger"] = Merger(self.ranks)
+        return self.kept["merger"]
+
+    def _many(self, words: pa.Array, word: np.ndarray, pending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many chunks that are a piece each, after so many spaces that wait; and their numbers."""
+        raw, first = buffers(words)
+        start, size = first[:-1][word], np.diff(first)[word]
+        if self.mode == BYTE_LEVEL:
+            raw, n = gather(*_MAPPED, raw)
+            first = np.concatenate([[0], np.cumsum(n)])[first]
+            start, size = first[:-1][word], np.diff(first)[word]
+        elif pending.any():
+            # spaces and chunk, one after the other
+            both = np.concatenate([np.frombuffer(SPACE * int(pending.max()), np.uint8), raw])
+            begin = np.stack([np.zeros(len(word), np.int64), start + 3 * int(pending.max())], axis=1).ravel()
+            length = np.stack([3 * pending, size], axis=1).ravel()
+            raw, size = gather(both, begin, length, np.arange(len(begin)))[0], size + 3 * pending
+            start = np.cumsum(size) - size
+        return self._merger().encode(raw, start, size)
+
     def encode_arrow(self, chunks: pa.Array, special: pa.Array | None = None) -> pa.Array:
         """Ids of each row of a list of chunks; null where that is null."""
         valid = np.asarray(chunks.is_valid())
         sizes = np.zeros(len(chunks), np.int64)
         sizes[valid] = np.diff(np.asarray(chunks.offsets))[valid]
         flat = chunks.flatten().dictionary_encode()
-        words, code = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        marks = np.zeros(len(code), np.int64) if special is None else special.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        kind = code * 2 + marks
+        words, code = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         begin = np.cumsum(sizes) - sizes
         pending = np.zeros(len(code), np.int64)
         last = np.zeros(len(sizes), np.int64)
+        marked = np.zeros(len(code), bool) if special is None else special.flatten().to_numpy(zero_copy_only=False).astype(bool)
+        blank = np.zeros(len(words), bool)
         if self.mode == SENTENCEPIECE and len(code):
-            kinds, which = np.unique(kind, return_inverse=True)
-            after = [self.after(words[k >> 1], bool(k & 1)) for k in kinds.tolist()]
-            value, adds = np.array([a for a, _ in after])[which], np.array([b for _, b in after])[which]
+            raw, start = buffers(words)
+            full = np.diff(start) > 0
+            blank[full] = np.isin(raw[start[:-1][full]], np.frombuffer(_BLANK, np.uint8))
+            value, adds = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+            for k in np.flatnonzero(blank).tolist():
+                value[k], adds[k] = self.after(words[k].as_py(), False)
+            value, adds = np.where(marked, 0, value[code]), adds[code] & ~marked
             first = np.zeros(len(code), bool)
             first[begin[sizes > 0]] = True
             total = np.cumsum(value)
@@ -117,17 +148,31 @@ class Codec:
             pending[first] = 0
             pending[adds] = 0  # those write nothing, whatever waits
             last[sizes > 0] = waiting[(begin + sizes - 1)[sizes > 0]]
-        units, unit = np.unique(kind * (int(pending.max(initial=0)) + 1) + pending, return_inverse=True)
-        step = int(pending.max(initial=0)) + 1
-        ids = [self.unit(words[(u // step) >> 1], bool((u // step) & 1), u % step) for u in units.tolist()]
-        # what waits at the end of a text is a piece of its own
+        if self.mode == SENTENCEPIECE or special is not None:
+            step = int(pending.max(initial=0)) + 1
+            units, unit = np.unique((code * 2 + marked) * step + pending, return_inverse=True)
+            of, own, wait = units // step >> 1, (units // step & 1).astype(bool), units % step
+        else:
+            unit, of = code, np.arange(len(words))
+            own, wait = np.zeros(len(of), bool), np.zeros(len(of), np.int64)
+        single = ~own & ~blank[of]
+        values, length = np.zeros(0, np.int32), np.zeros(len(of), np.int64)
+        values, length[single] = self._many(words, of[single], wait[single])
+        start = np.zeros(len(of), np.int64)
+        start[single] = np.cumsum(length[single]) - length[single]
+        # special tokens, white space, and what waits at the end of a text: few, and of several pieces
+        odd = np.flatnonzero(~single)
         tails, tail = np.unique(last, return_inverse=True)
-        ids += [self.piece(SPACE * n) if n else [] for n in tails.tolist()]
-        order = np.insert(unit, begin + sizes, len(units) + tail) if len(sizes) else unit
-        length = np.array([len(x) for x in ids], np.int64)
-        values, counts = gather(np.array([y for x in ids for y in x], np.int32), np.cumsum(length) - length, length, order)
-        ends = np.cumsum(counts)
-        stop = (np.cumsum(sizes + 1) - 1) if len(sizes) else np.zeros(0, np.int64)
+        lists = [self.unit(words[int(of[k])].as_py(), bool(own[k]), int(wait[k])) for k in odd] + [self.piece(SPACE * n) if n else [] for n in tails.tolist()]
+        n = np.array([len(x) for x in lists], np.int64)
+        at = len(values) + np.cumsum(n) - n
+        start[odd], length[odd] = at[: len(odd)], n[: len(odd)]
+        start, length = np.concatenate([start, at[len(odd) :]]), np.concatenate([length, n[len(odd) :]])
+        values = np.concatenate([values, np.array([k for x in lists for k in x], np.int32)])
+        order = np.insert(unit, begin + sizes, len(of) + tail) if self.mode == SENTENCEPIECE else unit
+        values, counts = gather(values, start, length, order)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        stop = np.cumsum(sizes + (self.mode == SENTENCEPIECE))
         offsets = np.concatenate([[0], ends[stop]]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid, False)) if not valid.all() else pa.array(offsets), pa.array(values, pa.int32()))
 
@@ -169,10 +214,10 @@ class Codec:
         return pa.Array.from_buffers(pa.binary(), len(ids), [bits, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of values that begin at start and have a size, one after another in the order of which; and their sizes."""
-    n = size[which]
-    end = np.cumsum(n)
-    if not len(n) or not end[-1]:
-        return values[:0], n
-    return values[np.arange(end[-1]) + np.repeat(start[which] - end + n, n)], n
+def buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words in a piece, and where each begins."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]

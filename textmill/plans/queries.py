@@ -12,6 +12,7 @@ from textmill.functions import bytelevel
 from textmill.operators import chat, decode, encode, split
 from textmill.plans import registry, tiny
 from textmill.sources import vocab
+from textmill.sources.tables import spread
 from textmill.streaming import decoder as streams
 from textmill.tokenizer import Tokenizer
 
@@ -28,6 +29,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def raw() -> Tokenizer:
     return Tokenizer.from_bytes(tiny.FILE.encode(), patterns.CL100K_BASE_PATTERN, tiny.CHAT)
 
@@ -111,13 +116,13 @@ def byte_alphabet(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def byte_level_encode(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", bytelevel.encode_col(F.encode("text", "UTF-8")).alias("mapped"))
+    return documents(spark, d).select("doc_id", bytelevel.encode_col(F.encode("text", "UTF-8")).alias("mapped"))
 
 
 @query
 def byte_level_decode(spark: SparkSession, d: str) -> DataFrame:
     """Mapped texts back; and plain urls and texts, where those with a character outside the alphabet give null."""
-    docs, pages = table(spark, d, "documents"), table(spark, d, "pages")
+    docs, pages = documents(spark, d), table(spark, d, "pages")
     back = docs.select(F.lit("back").alias("kind"), F.col("doc_id").alias("id"), F.hex(bytelevel.decode_col(bytelevel.encode_col(F.encode("text", "UTF-8")))).alias("bytes"))
     plain = docs.select(F.lit("text"), "doc_id", F.hex(bytelevel.decode_col(F.col("text"))))
     urls = pages.select(F.lit("url"), "page_id", F.hex(bytelevel.decode_bytes_col(F.encode("url", "UTF-8"))))
@@ -126,7 +131,7 @@ def byte_level_decode(spark: SparkSession, d: str) -> DataFrame:
 
 def _split(pattern: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = table(spark, d, "documents").select("doc_id", split.chunks(F.col("text"), pattern).alias("c"))
+        docs = documents(spark, d).select("doc_id", split.chunks(F.col("text"), pattern).alias("c"))
         return docs.select("doc_id", F.size("c").cast("bigint").alias("n_chunks"), F.array_join("c", "\x1e").alias("chunks"))
 
     return run
@@ -148,7 +153,7 @@ def special_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return split.chunk_rows(table(spark, d, "documents"), "doc_id", "text", patterns.CL100K_BASE_PATTERN)
+    return split.chunk_rows(documents(spark, d), "doc_id", "text", patterns.CL100K_BASE_PATTERN)
 
 
 @query
@@ -170,17 +175,17 @@ def bpe_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def encode_raw(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(table(spark, d, "documents"), "doc_id", raw().encode_col("text"))
+    return encoded(documents(spark, d), "doc_id", raw().encode_col("text"))
 
 
 @query
 def encode_bytelevel(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(table(spark, d, "documents"), "doc_id", mapped().encode_col("text"))
+    return encoded(documents(spark, d), "doc_id", mapped().encode_col("text"))
 
 
 @query
 def encode_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
-    return encoded(table(spark, d, "documents"), "doc_id", pieces().encode_col("text"))
+    return encoded(documents(spark, d), "doc_id", pieces().encode_col("text"))
 
 
 @query
@@ -201,7 +206,7 @@ def encode_sentencepiece_special(spark: SparkSession, d: str) -> DataFrame:
 @query
 def encode_parallel_equiv(spark: SparkSession, d: str) -> DataFrame:
     """The relational form: distinct chunks, a join with the vocabulary, and a join back."""
-    return encoded(raw().encode_df(table(spark, d, "documents"), strategy="relational"), "doc_id", F.col("ids"))
+    return encoded(raw().encode_df(documents(spark, d), strategy="relational"), "doc_id", F.col("ids"))
 
 
 @query
@@ -220,9 +225,9 @@ def tokenize_table_function(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT item_id, pos, token_id, hex(token) AS token FROM textmill_benchmark, LATERAL tiny_tokenize(text)")
 
 
-def codes(spark: SparkSession, d: str, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
+def codes(spark: SparkSession, d: str) -> DataFrame:
     """Texts with their characters' code points for ids: single bytes, pieces, specials and unknown ones, seldom UTF-8."""
-    return table(spark, d, name).select(F.col(id_col).alias("doc_id"), F.expr("transform(filter(split(text, ''), c -> c <> ''), c -> ascii(c))").alias("ids"))
+    return documents(spark, d).select("doc_id", F.expr("transform(filter(split(text, ''), c -> c <> ''), c -> ascii(c))").alias("ids"))
 
 
 @query
@@ -251,19 +256,19 @@ def decode_lossy(spark: SparkSession, d: str) -> DataFrame:
 @query
 def decode_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     t = pieces()
-    return table(spark, d, "documents").select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
 
 
 @query
 def roundtrip(spark: SparkSession, d: str) -> DataFrame:
     t = raw()
-    return table(spark, d, "documents").select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
 
 
 @query
 def roundtrip_bytelevel(spark: SparkSession, d: str) -> DataFrame:
     t = mapped()
-    return table(spark, d, "documents").select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
+    return documents(spark, d).select("doc_id", t.decode_col(t.encode_col("text")).alias("text"))
 
 
 def token_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -306,28 +311,28 @@ def stream_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_count_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("lang", words().count_col("text").alias("n"))
+    docs = documents(spark, d).select("lang", words().count_col("text").alias("n"))
     return docs.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
 @query
 def token_count_cube(spark: SparkSession, d: str) -> DataFrame:
     """Tokens by language, source, both and neither."""
-    docs = table(spark, d, "documents").select("lang", "source", raw().count_col("text").alias("n"))
+    docs = documents(spark, d).select("lang", "source", raw().count_col("text").alias("n"))
     return docs.cube("lang", "source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
 
 
 @query
 def compression(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of two ways to cut, against bytes, by language."""
-    docs = table(spark, d, "documents").select("lang", F.octet_length("text").cast("bigint").alias("b"), raw().count_col("text").alias("x"), pieces().count_col("text").alias("y"))
+    docs = documents(spark, d).select("lang", F.octet_length("text").cast("bigint").alias("b"), raw().count_col("text").alias("x"), pieces().count_col("text").alias("y"))
     return docs.groupBy("lang").agg(F.sum("b").alias("bytes"), F.sum("x").alias("raw_tokens"), F.sum("y").alias("piece_tokens"))
 
 
 @query
 def token_frequency_topk(spark: SparkSession, d: str) -> DataFrame:
     """The 20 most frequent tokens."""
-    rows = table(spark, d, "documents").select(F.explode(raw().encode_col("text")).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
+    rows = documents(spark, d).select(F.explode(raw().encode_col("text")).alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
     return rows.orderBy(F.desc("n"), "token_id").limit(20)
 
 
@@ -351,7 +356,7 @@ def infill_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Documents cut in three at thirds of their characters."""
     third = F.expr("char_length(text) div 3").cast("int")
     cut = chat.infill(F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.expr("substring(text, 2 * int(char_length(text) div 3) + 1)"))
-    return encoded(table(spark, d, "documents").withColumn("cut", cut), "doc_id", raw().encode_col("cut", with_special=True))
+    return encoded(documents(spark, d).withColumn("cut", cut), "doc_id", raw().encode_col("cut", with_special=True))
 
 
 @query
