@@ -72,6 +72,15 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["truth"] for r in got]) > 0.97
 
 
+def test_long_noise_is_rejected_and_short_texts_are_not(spark, model):
+    import random
+
+    r = random.Random(1)
+    noise = " ".join("".join(r.choice("qxzjkvwy") for _ in range(9)) for _ in range(3000))
+    got = langid.identify(table(spark, [(1, noise), (2, "the house, xqzjv"), (3, EN + " token 9f8a7b6c5d")]), model).orderBy("doc_id").collect()
+    assert [(x["lang"] == "und", x["accepted"]) for x in got] == [(True, False), (False, True), (False, True)]
+
+
 def test_hard_cases(spark, model):
     docs = clashing(table(spark, [*hard(EN), (9, long_text()), (10, (EN + " ") * 10_000), (11, "12345 67890 !!"), (12, "a\x00b")]))
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}

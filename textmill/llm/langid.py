@@ -12,7 +12,8 @@ plain pass, for a text of any length, in numpy steps that don't grow with it.
 The trigram model is fitted on labelled rows, ``per_language`` of each language at most, those whose ids have the smallest hashes.
 
 Defined results: a text without letters (null and empty ones too) is ``zxx``, with no spans. A document whose
-mean trigram score lies below the lowest of the fitted rows of its language, less ``slack``, is ``und``. Both are not accepted, and neither are documents
+mean trigram score lies below the lowest of the fitted rows of its language, less ``slack``, is ``und``; a mean of few trigrams varies more, so for n of them, n under ``TYPICAL``, slack
+is sqrt(TYPICAL / n) times as much. Both are not accepted, and neither are documents
 most of whose words are of other languages than those trained. Repeated rows get a result each; ties go to the
 language of the word before, else to the first by name. Rows of null language are labelled like all others, but not fitted.
 """
@@ -33,6 +34,8 @@ BITS = 16
 BLOCK = 128
 FAR = np.float32(-30.0)
 PIECE = 1 << 21
+#: Trigrams of a text of usual length.
+TYPICAL = 1000
 
 #: First code point of each range, and its script.
 _RANGES = [(0, ""), (65, "Latn"), (91, ""), (97, "Latn"), (123, ""), (0xAA, "Latn"), (0xAB, ""), (0xB5, "Latn"), (0xB6, ""), (0xBA, "Latn"), (0xBB, ""), (0xC0, "Latn"), (0xD7, ""), (0xD8, "Latn"), (0xF7, ""), (0xF8, "Latn"), (0x2B0, ""), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Armn"), (0x590, "Hebr"), (0x600, "Arab"), (0x700, "Syrc"), (0x750, "Arab"), (0x780, "Thaa"), (0x800, ""), (0x900, "Deva"), (0x980, "Beng"), (0xA00, "Guru"), (0xA80, "Gujr"), (0xB00, "Orya"), (0xB80, "Taml"), (0xC00, "Telu"), (0xC80, "Knda"), (0xD00, "Mlym"), (0xD80, "Sinh"), (0xE00, "Thai"), (0xE80, "Laoo"), (0xF00, "Tibt"), (0x1000, "Mymr"), (0x10A0, "Geor"), (0x1100, "Hang"), (0x1200, "Ethi"), (0x13A0, ""), (0x1780, "Khmr"), (0x1800, "Mong"), (0x18B0, ""), (0x1E00, "Latn"), (0x1F00, "Grek"), (0x2000, ""), (0x3040, "Kana"), (0x3100, ""), (0x3130, "Hang"), (0x3190, ""), (0x3400, "Hani"), (0x4DC0, ""), (0x4E00, "Hani"), (0xA000, ""), (0xAC00, "Hang"), (0xD7B0, ""), (0xF900, "Hani"), (0xFB00, "Latn"), (0xFB07, ""), (0xFB50, "Arab"), (0xFE00, ""), (0xFF21, "Latn"), (0xFF3B, ""), (0xFF41, "Latn"), (0xFF5B, ""), (0xFF66, "Kana"), (0xFFA0, ""), (0x20000, "Hani"), (0x30000, "")]
@@ -70,7 +73,7 @@ class Model:
         self.table = np.log((counts + 0.5) / (total + 0.5 * len(counts))).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         self.uses = share >= 0.01  # script x language
-        self.floor = np.full(len(langs), -np.inf)
+        self.floor, self.slack = np.full(len(langs), -np.inf), 0.0
 
     def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For every word: scores by state (the languages, then other scripts), its word type, and by type the script, trigrams, and plain scores."""
@@ -168,6 +171,7 @@ def fit(docs: DataFrame, per_language: int = 1000, slack: float = 1.0, seed: int
     table = np.zeros(((1 << BITS) + len(SCRIPTS), len(langs)))
     table[found["slot"], [langs.index(x) for x in found["lang"]]] = found["n"]
     model = Model(langs, table[: 1 << BITS], table[1 << BITS :])
+    model.slack = slack
 
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +183,7 @@ def fit(docs: DataFrame, per_language: int = 1000, slack: float = 1.0, seed: int
 
     if langs:
         for r in rows.mapInArrow(lowest, "lang string, mean double").where("not isnan(mean)").groupBy("lang").agg(F.min("mean").alias("low")).collect():
-            model.floor[langs.index(r["lang"])] = r["low"] - slack
+            model.floor[langs.index(r["lang"])] = r["low"]
     return model
 
 
@@ -229,7 +233,7 @@ def label(model: Model, t: Tokens, penalty: float) -> Iterator[tuple[str, float,
             by_name[names[k]] = by_name.get(names[k], 0) + int(votes[r, k])
         main = min(by_name, key=lambda x: (-by_name[x], x))
         ok = main in model.langs
-        if ok and grams[r] and sums[r] / grams[r] < model.floor[model.langs.index(main)]:
+        if ok and grams[r] and sums[r] / grams[r] < model.floor[model.langs.index(main)] - model.slack * max(1.0, (TYPICAL / grams[r]) ** 0.5):
             main, ok = "und", False
         base = t.first[r]
         yield main, by_name.get(main, 0) / n, [(names[code[b]], int(b - base), int(e - base)) for b, e in zip(begin[cut[r] : cut[r + 1]], stop[cut[r] : cut[r + 1]])], ok
