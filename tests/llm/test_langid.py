@@ -99,3 +99,8 @@ def test_empty_table(spark):
     assert model.langs == []
     assert langid.identify(docs, model).count() == 0
     assert langid.identify(table(spark, [(1, EN), (2, None)]), model).where("accepted").count() == 0
+
+
+def test_numbers_say_nothing(spark, model):
+    got = langid.identify(table(spark, [(1, "the house 4761598977407687 3523412345234534 98234234 it 19 37 233 111")]), model).first()
+    assert (got["lang"], got["accepted"], got["share"]) == ("en", True, 1.0)

@@ -11,7 +11,7 @@ plain pass, for a text of any length, in numpy steps that don't grow with it.
 
 The trigram model is fitted on labelled rows, ``per_language`` of each language at most, those whose ids have the smallest hashes.
 
-Defined results: a text without letters (null and empty ones too) is ``zxx``, with no spans. A document whose
+Words with digits in them say nothing about the language. Defined results: a text without other words (null and empty ones too) is ``zxx``, with no spans. A document whose
 mean trigram score lies below the lowest of the fitted rows of its language, less ``slack``, is ``und``; a mean of few trigrams varies more, so for n of them, n under ``TYPICAL``, slack
 is sqrt(TYPICAL / n) times as much. Both are not accepted, and neither are documents
 most of whose words are of other languages than those trained. Repeated rows get a result each; ties go to the
@@ -61,6 +61,8 @@ def distinct_words(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     new = np.flatnonzero(np.concatenate([[True], np.diff(inner) > 1]))
     kind = _SCRIPT[np.searchsorted(_STARTS, chars[inner].astype(np.int64), "right") - 1]
     script = np.maximum.reduceat(kind, new) if len(new) else kind
+    digit = (chars[inner] >= 48) & (chars[inner] <= 57)
+    script[np.logical_or.reduceat(digit, new) if len(new) else digit] = 0  # no script: codes and numbers are of no language
     return grams.astype(np.int64), new, script, inverse
 
 
@@ -192,7 +194,7 @@ def _means(model: Model, t: Tokens) -> np.ndarray:
     out = np.full((len(t.first) - 1, len(model.langs)), np.nan)
     if len(t.hash):
         grams, new, script, which = distinct_words(t)
-        ok = model.uses[script].any(axis=1)
+        ok = model.uses[script].any(axis=1) & (script != SCRIPTS.index(""))
         plain = np.add.reduceat(model.table[grams], new, axis=0) * ok[:, None]
         size = np.diff(np.append(new, len(grams))) * ok
         rows = t.row()
@@ -221,7 +223,7 @@ def label(model: Model, t: Tokens, penalty: float) -> Iterator[tuple[str, float,
     stop = np.append(begin[1:], len(code))
     cut = np.searchsorted(begin, t.first)
     votes = np.bincount(row[letters] * len(names) + code[letters], minlength=rows * len(names)).reshape(rows, -1)
-    sums = np.bincount(row, np.where(state < len(model.langs), plain[which, np.minimum(state, len(model.langs) - 1)], 0) if model.langs else np.zeros(len(row)), rows)
+    sums = np.bincount(row, np.where((state < len(model.langs)) & letters, plain[which, np.minimum(state, len(model.langs) - 1)], 0) if model.langs else np.zeros(len(row)), rows)
     grams = np.bincount(row, np.where(state < len(model.langs), size[which] * letters, 0), rows)
     for r in range(rows):
         n = int(votes[r].sum())
