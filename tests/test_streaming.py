@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,20 @@ def test_tables(spark):
     assert streams.decode_table(spark.createDataFrame([], SCHEMA), PLAIN._codec).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 2]), st.sampled_from(["token"] * 8 + ["flush", "reset"]), st.sampled_from([0xE4, 0xB8, 0x96, 65, 0xFF, 257, 1000, 7777, -1, 0xC3, 0xA9])), max_size=24), st.integers(1, 6))
+def test_batches_against_the_object(rows, size):
+    rows = [(s, q, op, k) for q, (s, op, k) in enumerate(sorted(rows, key=lambda r: r[0]))]
+    got, before, pending = {}, None, b""
+    for i in range(0, len(rows), size):
+        part = rows[i : i + size]
+        s, _, op, k = (np.array(x, object) for x in zip(*part))
+        emitted, waits, pending = streams.decode_batch(PLAIN._codec, s.astype(np.int64), op, k.astype(np.int64), before, pending)
+        before = part[-1][0]
+        got |= {r[:2]: (e, w, w > 0) for r, e, w in zip(part, emitted.to_pylist(), waits.tolist())}
+    assert got == steps(rows)
+
+
 def test_structured_streaming(spark, tmp_path):
     rows = some_rows(3)
     folder, sink = str(tmp_path / "in"), str(tmp_path / "out")

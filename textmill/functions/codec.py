@@ -194,14 +194,18 @@ class Codec:
     def decode_bytes(self, ids) -> bytes:
         return b"".join(b for k in ids if k is not None and (b := self.token_bytes(k)) is not None)
 
-    def decode_arrow(self, ids: pa.Array) -> pa.Array:
-        """Bytes of each row of a list of ids; unknown and null ones stand for nothing."""
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all ids from 0 on, where each one's begin, and their sizes; the last is that of unknown ids, and empty."""
         if "table" not in self.kept:
             most = max([-1, *self.decoder, *self.specials.values()])
             every = [self.token_bytes(k) or b"" for k in range(most + 1)] + [b""]
             size = np.array([len(x) for x in every], np.int64)
             self.kept["table"] = np.frombuffer(b"".join(every), np.uint8), np.cumsum(size) - size, size
-        raw, start, size = self.kept["table"]
+        return self.kept["table"]
+
+    def decode_arrow(self, ids: pa.Array) -> pa.Array:
+        """Bytes of each row of a list of ids; unknown and null ones stand for nothing."""
+        raw, start, size = self.table()
         valid = np.asarray(ids.is_valid())
         sizes = np.zeros(len(ids), np.int64)
         sizes[valid] = np.diff(np.asarray(ids.offsets))[valid]

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.bulk import gather
 from textmill.functions.codec import BYTE_LEVEL, RAW, Codec
 
 
@@ -88,24 +92,66 @@ def _kind(byte_level: bool) -> type[StreamingDecoder]:
     return ByteLevelStreamingDecoder if byte_level else StreamingDecoder
 
 
+def decode_batch(codec: Codec, stream: np.ndarray, op: np.ndarray, ids: np.ndarray, before: int | None, pending: bytes) -> tuple[pa.Array, np.ndarray, bytes]:
+    """What the rows of some streams give out, how many bytes each then waits with, and the bytes that wait at the end. ``pending`` waits for stream ``before``.
+
+    A stream's bytes up to a control row are one run, of which the longest valid start is found once; a token then gives
+    the characters that end in its bytes, by their places alone.
+    """
+    rows = len(stream)
+    control = (op == "flush") | (op == "reset")
+    new = np.concatenate([[stream[0] != before], (stream[1:] != stream[:-1]) | control[:-1]])
+    held = b"" if new[0] else pending
+    new[0] = True
+    raw, start, size = codec.table()
+    known = ~control & (ids >= 0) & (ids < len(size))
+    data, n = gather(raw, start, size, np.where(known, ids, len(size) - 1))
+    data = np.concatenate([np.frombuffer(held, np.uint8), data])
+    end = np.cumsum(n) + len(held)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], rows) - 1
+    begin = (end - n)[first]
+    begin[0] = 0
+    whole = data.tobytes()
+    valid = np.array([a + valid_length(whole[a:b]) for a, b in zip(begin.tolist(), end[last].tolist())], np.int64)
+    run = np.cumsum(new) - 1
+    # the last place up to each at which a character begins
+    lead = np.maximum.accumulate(np.where(np.append((data & 0xC0) != 0x80, True), np.arange(len(data) + 1), 0))
+    upto = np.minimum(end, valid[run])
+    done = np.where(upto == valid[run], upto, lead[upto])
+    since = np.concatenate([[0], done[:-1]])
+    since[first] = begin
+    flushed = np.flatnonzero(op == "flush")
+    texts = [whole[a:b].decode("utf-8", "replace").encode() for a, b in zip(since[flushed].tolist(), end[flushed].tolist())]
+    place, length = since.copy(), np.where(control, 0, done - since)
+    length[flushed] = [len(t) for t in texts]
+    place[flushed] = len(data) + np.cumsum(length[flushed]) - length[flushed]
+    values, _ = gather(np.concatenate([data, np.frombuffer(b"".join(texts), np.uint8)]), place, length, np.arange(rows))
+    shown = (length > 0) | (op == "flush")
+    offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    emitted = pa.Array.from_buffers(pa.string(), rows, [pa.py_buffer(np.packbits(shown, bitorder="little").tobytes()), pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+    waits = np.where(control, 0, end - done)
+    return emitted, waits.astype(np.int32), b"" if control[-1] else whole[done[-1] : end[-1]]
+
+
 def decode_table(tokens: DataFrame, codec: Codec, byte_level: bool = False) -> DataFrame:
     """For each row (stream_id, seq, op, token_id) what it gives out: streams are brought together and read in order, each once and none as a whole."""
     shared = tokens.sparkSession.sparkContext.broadcast(codec)
 
-    def run(batches: Iterator) -> Iterator:
-        at, decoder = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, before, pending = _kind(byte_level)(shared.value)._codec, None, b""
         for b in batches:
-            out = []
-            for stream, seq, op, k in zip(b["stream_id"], b["seq"], b["op"], b["token_id"]):
-                if decoder is None or stream != at:
-                    at, decoder = stream, _kind(byte_level)(shared.value)
-                out.append((stream, seq, step(decoder, op, None if k != k or k is None else k), decoder.pending_bytes, decoder.has_pending))
-            import pandas as pd
-
-            yield pd.DataFrame(out, columns=["stream_id", "seq", "emitted", "pending_bytes", "has_pending"])
-
-    ordered = tokens.select("stream_id", "seq", "op", "token_id").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
-    return ordered.mapInPandas(run, OUT)
+            if not b.num_rows:
+                continue
+            stream = pc.fill_null(b.column(0), -(1 << 63)).to_numpy(zero_copy_only=False)
+            op = pc.fill_null(b.column(2), "token").to_numpy(zero_copy_only=False).astype(object)
+            ids = pc.fill_null(b.column(3), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            emitted, waits, pending = decode_batch(own, stream, op, ids, before, pending)
+            before = stream[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), emitted, pa.array(waits), pa.array(waits > 0)], ["stream_id", "seq", "emitted", "pending_bytes", "has_pending"])
+
+    ordered = tokens.select(F.col("stream_id").cast("bigint"), F.col("seq").cast("bigint"), "op", F.col("token_id").cast("int")).repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInArrow(run, OUT)
 
 
 def decode_stream(tokens: DataFrame, codec: Codec, byte_level: bool = False, timeout_ms: int | None = None) -> DataFrame:
