@@ -144,6 +144,13 @@ def test_decoding_errors(spark):
         t.decode_batch([[65], [0xFF]])
 
 
+def test_ids_far_apart(spark):
+    t = Tokenizer.from_maps({b"a": 0, b"b": 2_000_000_000}, {"<|x|>": 7})
+    df = spark.createDataFrame([([0, 2_000_000_000, 7, 5, -1],)], "ids array<int>")
+    assert df.select(t.decode_col("ids")).first()[0] == t.decode([0, 2_000_000_000, 7, 5, -1]) == "ab<|x|>"
+    assert Tokenizer.from_maps({}).decode([1]) == "" and df.select(Tokenizer.from_maps({}).decode_col("ids")).first()[0] == ""
+
+
 def test_what_it_knows(spark):
     t = raw()
     assert t.vocab_size == 304 and repr(t) == "Tokenizer(vocab_size=304)"

@@ -195,14 +195,31 @@ class Codec:
         return b"".join(b for k in ids if k is not None and (b := self.token_bytes(k)) is not None)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The bytes of all ids from 0 on, where each one's begin, and their sizes; the last is that of unknown ids, and empty."""
+        """The bytes of all ids that stand for something, in order of the ids, where each one's begin, and their sizes; the last are none, for unknown ids."""
         if "table" not in self.kept:
-            most = max([-1, *self.decoder, *self.specials.values()])
-            every = [self.token_bytes(k) or b"" for k in range(most + 1)] + [b""]
+            known = sorted({*self.decoder, *self.specials.values()})
+            every = [*(self.token_bytes(k) or b"" for k in known), b""]
             size = np.array([len(x) for x in every], np.int64)
+            self.kept["known"] = np.array(known, np.int64)
+            # ids are looked up by place if they lie close, else by search
+            self.kept["place"] = None
+            if known and known[-1] < 8 * len(known) + (1 << 16):
+                self.kept["place"] = np.full(known[-1] + 1, len(known))
+                self.kept["place"][known] = np.arange(len(known))
             self.kept["table"] = np.frombuffer(b"".join(every), np.uint8), np.cumsum(size) - size, size
         return self.kept["table"]
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """The rows of the table for some ids."""
+        self.table()
+        known, place = self.kept["known"], self.kept["place"]
+        if place is not None:
+            return np.where((ids >= 0) & (ids < len(place)), place[np.clip(ids, 0, len(place) - 1)], len(known))
+        if not len(known):
+            return np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        return np.where(known[at] == ids, at, len(known))
+
     def decode_arrow(self, ids: pa.Array) -> pa.Array:
         """Bytes of each row of a list of ids; unknown and null ones stand for nothing."""
         raw, start, size = self.table()
@@ -210,7 +227,7 @@ class Codec:
         sizes = np.zeros(len(ids), np.int64)
         sizes[valid] = np.diff(np.asarray(ids.offsets))[valid]
         flat = pc.fill_null(ids.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = np.where((flat < 0) | (flat >= len(size)), len(size) - 1, flat)
+        flat = self.rows(flat)
         values, counts = gather(raw, start, size, flat)
         ends = np.concatenate([[0], np.cumsum(counts)])
         offsets = ends[np.concatenate([[0], np.cumsum(sizes)])].astype(np.int32)

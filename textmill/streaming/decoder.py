@@ -104,8 +104,7 @@ def decode_batch(codec: Codec, stream: np.ndarray, op: np.ndarray, ids: np.ndarr
     held = b"" if new[0] else pending
     new[0] = True
     raw, start, size = codec.table()
-    known = ~control & (ids >= 0) & (ids < len(size))
-    data, n = gather(raw, start, size, np.where(known, ids, len(size) - 1))
+    data, n = gather(raw, start, size, np.where(control, len(size) - 1, codec.rows(ids)))
     data = np.concatenate([np.frombuffer(held, np.uint8), data])
     end = np.cumsum(n) + len(held)
     first = np.flatnonzero(new)
