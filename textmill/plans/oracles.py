@@ -182,6 +182,18 @@ _KNOWN = [
     ("mistral_v3", "mistral_v3", "byte_level", 1, 2, 131111, 131072, 131126, 64),
 ]
 
+_LISTS = [
+    ("cl100k_base", 100257, "<|endoftext|>,<|fim_prefix|>,<|fim_middle|>,<|fim_suffix|>"), ("cl100k_base", 100276, "<|endofprompt|>"),
+    ("o200k_base", 199999, "<|endoftext|>"), ("o200k_base", 200018, "<|endofprompt|>"),
+    ("llama3", 128000, "<|begin_of_text|>,<|end_of_text|>,<|reserved_special_token_0|>,<|reserved_special_token_1|>,<|finetune_right_pad_id|>,<|step_id|>,<|start_header_id|>,<|end_header_id|>,<|eom_id|>,<|eot_id|>,<|python_tag|>"),
+    ("llama3", 128256, "<|image|>,<|/image|>,<|audio|>,<|/audio|>,<|video|>,<|/video|>"),
+    ("deepseek_v3", 0, "<｜begin▁of▁sentence｜>,<｜end▁of▁sentence｜>,<｜▁pad▁｜>"), ("deepseek_v3", 128798, "<think>,</think>"),
+    ("deepseek_v3", 128800, "<｜fim▁hole｜>,<｜fim▁begin｜>,<｜fim▁end｜>,<｜User｜>,<｜Assistant｜>,<|EOT|>,<｜tool▁calls▁begin｜>,<｜tool▁calls▁end｜>,<｜tool▁call▁begin｜>,<｜tool▁call▁end｜>,<｜tool▁outputs▁begin｜>,<｜tool▁outputs▁end｜>,<｜tool▁output▁begin｜>,<｜tool▁output▁end｜>,<｜tool▁sep｜>"),
+    ("mistral_v1", 0, "<unk>,<s>,</s>"),
+    ("mistral_v2", 3, "[INST],[/INST],[TOOL_CALLS],[AVAILABLE_TOOLS],[/AVAILABLE_TOOLS],[TOOL_RESULTS],[/TOOL_RESULTS]"),
+    ("mistral_v3", 0, "<unk>,<s>,</s>,[INST],[/INST],[AVAILABLE_TOOLS],[/AVAILABLE_TOOLS],[TOOL_RESULTS],[/TOOL_RESULTS],[TOOL_CALLS]"),
+]
+
 
 def _value(x) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
@@ -237,6 +249,7 @@ SQL: dict[str, str] = {
     "agent_tokens": f"""WITH names AS (SELECT unnest(string_split('{_AGENTS}', ',')) AS name, generate_subscripts(string_split('{_AGENTS}', ','), 1) - 1 AS k),
 bases AS ({_rows(_BASES, "vocab, base")})
 SELECT vocab, CASE WHEN name[1] = '/' THEN upper(name[2:]) || '_END' ELSE upper(name) END AS const_name, '<|' || name || '|>' AS token, (base + k)::INT AS token_id FROM names, bases WHERE NOT (vocab = 'llama3' AND ltrim(name, '/') IN ('image', 'audio', 'video'))""",
+    "native_specials": "SELECT vocab, unnest(string_split(list, ',')) AS token, (first - 1 + generate_subscripts(string_split(list, ','), 1))::INT AS token_id FROM (" + _rows(_LISTS, "vocab, first, list") + ")",
     "vocab_registry": "SELECT name, alias_of, mode, pattern, bos::INT AS bos, eos, pad, agent_base, vocab_size, n_special FROM (" + _rows([(*r[:3], registry.NAMED[r[1]].pattern, *r[3:]) for r in _KNOWN], "name, alias_of, mode, pattern, bos, eos, pad, agent_base, vocab_size, n_special") + ")",
 }
 
