@@ -34,7 +34,7 @@ def test_spans_against_a_loop(name, seed):
 
 @pytest.mark.parametrize("name", ["chatml", "headers", "closed"])
 def test_spans_hold_their_turns(name):
-    messages = [{"role": "user", "content": "first question"}, {"role": "assistant", "content": "an answer"}, {"role": "user", "content": "and more"}]
+    messages = [{"role": r, "content": c} for r, c in (("user", "first question"), ("assistant", "an answer"), ("user", "and more"))]
     for k, (a, b, rewritten, touched) in enumerate(chat.spans(chat.TEMPLATES[name], messages)):
         assert messages[k]["content"] in chat.TEMPLATES[name](messages[: k + 1])[a:b]
         assert not rewritten and touched is None
