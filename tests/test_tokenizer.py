@@ -14,7 +14,7 @@ from textmill.sources import vocab
 
 ABC = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5}
 RANKS = vocab.encoder_of(tiny.LINES)
-TEXTS = ["", "Hello, world!", "The quick brown fox jumps over the lazy dog.", "1234567890", "!@#$%^&*()", "one\ntwo\n\n  three", "こんにちは 世界 🦀", "   \n\t  ", "a — b “c” d’s", "x   y", "　 　z", "a\u0085b\u0085\u0085c", " \n b", "\r\n\r\n  k", "\x0b\x0bq", "'ſt don'ſ", "İI'LL", "!/\n//", "def f(x):\n    return x * 2\n"]
+TEXTS = ["", "1234567890", "Hello, world!", "one\ntwo\n\n  three", "Sphinx of black quartz, judge my vow.", "!@#$%^&*()", "こんにちは 世界 🦀", "   \n\t  ", "a — b “c” d’s", "x   y", "　 　z", "a\u0085b\u0085\u0085c", " \n b", "\r\n\r\n  k", "\x0b\x0bq", "'ſt don'ſ", "İI'LL", "!/\n//", "def f(x):\n    return x * 2\n"]
 
 
 def raw(**options):

@@ -9,7 +9,8 @@ from __future__ import annotations
 from textmill.errors import TokenizerError
 
 _ENGLISH = "(?i:" + "|".join("'" + x for x in "s t re ve m ll d".split()) + ")"
-_LEAD = r"[^\r\n\p{L}\p{N}]?"
+_LETTER, _NUMBER = r"\p{L}", r"\p{N}"
+_LEAD = rf"[^\r\n{_LETTER}{_NUMBER}]?"
 _CAPITAL, _SMALL = ("[" + "".join(rf"\p{{{c}}}" for c in x.split()) + "]" for x in ("Lu Lt Lm Lo M", "Ll Lm Lo M"))
 _BLANKS = [r"\s*[\r\n]+", r"\s+(?!\S)", r"\s+"]
 

@@ -14,7 +14,7 @@ _MARKED = rf"regexp_replace(CASE WHEN contains(text, chr(57344)) THEN error('a t
 _END = rf"[{_W}]*[\r\n]+|[{_W}]+"
 _ENGLISH = "(?i:" + "|".join("''" + x for x in "s t re ve m ll d".split()) + ")"
 _LEAD = rf"[^\r\n\p{{L}}\p{{N}}{_MARK}]?"
-_UP, _LOW = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"
+_UP, _LOW = ("[" + "".join(rf"\p{{{x}}}" for x in c.split()) + "]" for c in ("Lu Lt Lm Lo M", "Ll Lm Lo M"))
 
 
 def _marks(tail: str) -> str:
@@ -175,7 +175,7 @@ _AGENTS = "system,user,assistant,im_start,im_end,think,/think,plan,/plan,step,/s
 _KNOWN = [
     ("cl100k_base", "cl100k_base", "raw", None, 100257, 100316, 100277, 100331, 59),
     ("o200k_base", "o200k_base", "raw", None, 199999, 200058, 200019, 200073, 56),
-    *((x, "llama3", "raw", 128000, 128001, 128339, 128300, 128354, 65) for x in ("llama3", "llama3.1", "llama3.2", "llama3.3")),
+    *((x, "llama3", "raw", 128000, 128001, 128339, 128300, 128354, 65) for x in ("llama3", *(f"llama3.{k}" for k in range(1, 4)))),
     *((x, "deepseek_v3", "byte_level", 0, 1, 2, 128900, 128954, 74) for x in ("deepseek_v3", "deepseek-v3")),
     *((x, "mistral_v1", "sentencepiece", 1, 2, 32039, 32000, 32054, 57) for x in ("mistral_v1", "mistral")),
     ("mistral_v2", "mistral_v2", "sentencepiece", 1, 2, 32807, 32768, 32822, 61),

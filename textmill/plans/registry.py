@@ -82,7 +82,7 @@ NAMED = {
     for n in (
         Named("cl100k_base", (), "raw", patterns.CL100K_BASE_PATTERN, None, 100257, 100316, 100277, 100331, _run(100257, "endoftext fim_prefix fim_middle fim_suffix") | {"<|endofprompt|>": 100276}, file="cl100k_base.tiktoken"),
         Named("o200k_base", (), "raw", patterns.O200K_BASE_PATTERN, None, 199999, 200058, 200019, 200073, {"<|endoftext|>": 199999, "<|endofprompt|>": 200018}, file="o200k_base.tiktoken"),
-        Named("llama3", ("llama3.1", "llama3.2", "llama3.3"), "raw", patterns.LLAMA3_PATTERN, 128000, 128001, 128339, 128300, 128354, _LLAMA, _consts(_LLAMA, skip=("<|reserved_special_token_0|>", "<|reserved_special_token_1|>")), False, "llama3.tiktoken"),
+        Named("llama3", tuple(f"llama3.{k}" for k in (1, 2, 3)), "raw", patterns.LLAMA3_PATTERN, 128000, 128001, 128339, 128300, 128354, _LLAMA, _consts(_LLAMA, skip=("<|reserved_special_token_0|>", "<|reserved_special_token_1|>")), False, "llama3.tiktoken"),
         Named("deepseek_v3", ("deepseek-v3",), "byte_level", patterns.LLAMA3_PATTERN, 0, 1, 2, 128900, 128954, _DEEP, _consts(_DEEP, _NATIVE_NAMES), file="deepseek_v3.tiktoken"),
         Named("mistral_v1", ("mistral",), "sentencepiece", patterns.SENTENCEPIECE_PATTERN, 1, 2, 32039, 32000, 32054, _V1, file="mistral.tiktoken"),
         Named("mistral_v2", (), "sentencepiece", patterns.SENTENCEPIECE_PATTERN, 1, 2, 32807, 32768, 32822, _V2, file="mistral_v2.tiktoken"),
