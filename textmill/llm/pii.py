@@ -6,8 +6,9 @@ its mentions. Over all tokens, an entity's information content is IC(e) = -log2
 a term t tells of it is PMI(e; t) = log2(P(near e | t) / P(near e)), at most IC(e), when t stands nowhere else. A term with PMI >= ``generalise``
 x IC is generalised (a number to ``[NUMBER]``, any other term to ``[TERM]``), and one with PMI >= ``remove``
 x IC is removed, wherever it stands in a document that mentions the entity. Tokens that are part of a mention
-aren't occurrences of a term. An estimate needs
-``support`` distinct contexts in which t is near e, so neither a word seen once nor the copies of one passage count for much. Counts are over all documents.
+aren't occurrences of a term. An estimate from ``support`` distinct contexts in which t is near e is taken as it is. One from fewer is
+taken at the lower end of its confidence interval (Wilson's, ``doubt`` standard deviations down), with equal contexts counted once: a term that stands nowhere but in
+k contexts of e is believed to do so with probability k / (k + 1), for a doubt of 1. So entities named once are judged as well, and copies of one passage count as one. Counts are over all documents.
 
 Only mentions, their neighbours and counts are shuffled, and the texts of those documents that mention anything.
 
@@ -50,7 +51,7 @@ def finder(patterns: dict[str, str]) -> re.Pattern:
 
 
 def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFrame:
-    """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``, and entity is null for the tokens of mentions themselves."""
+    """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``; with a term, n is 0 if that token was near the entity already; entity is null for the tokens of mentions themselves."""
     look = finder(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,13 +77,15 @@ def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFram
                         inside[max(0, np.searchsorted(t.end[first:last], s, "right")) : np.searchsorted(t.start[first:last], e, "left")] = True
                     free = first + np.flatnonzero(~inside)
                     rows += [(uids[lo + r], None, None, h, 0, 1) for h in t.hash[first:last][inside].view(np.int64).tolist()]
+                    met = set()
                     for (k, value, _, _), (s, e) in zip(found, spans):
                         before = free[: np.searchsorted(t.start[free], s)][-window:]
                         after = free[np.searchsorted(t.start[free], e) :][:window]
                         near = np.concatenate([before, after]).astype(np.int64)
                         context = int((mix(t.hash[near] + np.arange(len(near), dtype=np.uint64)).sum(dtype=np.uint64) >> np.uint64(1)).astype(np.int64)) if len(near) else 0
                         rows.append((uids[lo + r], f"{k}:{value}", None, 0, context, len(near)))
-                        rows += [(uids[lo + r], f"{k}:{value}", t.word(i), int(t.hash[i].view(np.int64)), context, 1) for i in near.tolist()]
+                        rows += [(uids[lo + r], f"{k}:{value}", t.word(i), int(t.hash[i].view(np.int64)), context, int((k, value, i) not in met)) for i in near.tolist()]
+                        met.update((k, value, i) for i in near.tolist())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
 
@@ -91,6 +94,14 @@ def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFram
 
 #: Terms up to which a count over the corpus looks for just these; of more, all terms are counted and joined.
 WATCHED_TERMS = 1_000_000
+#: Distinct terms that a task counts before it passes them on.
+HELD_TERMS = 1 << 20
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values and their counts, of several such pairs."""
+    values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return values, np.bincount(at, np.concatenate([n for _, n in parts]), len(values)).astype(np.int64)
 
 
 def occurrences(docs: DataFrame, terms: DataFrame, watched: int = WATCHED_TERMS) -> DataFrame:
@@ -100,40 +111,53 @@ def occurrences(docs: DataFrame, terms: DataFrame, watched: int = WATCHED_TERMS)
     wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.toLocalIterator()], np.int64))) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, held = 0, []
         sums = np.zeros(len(wanted.value), np.int64) if wanted else None
         for b in batches:
             for _, _, t in tokens_in(b.column(0)):
                 n += len(t.hash)
                 h = t.hash.view(np.int64)
                 if wanted is None:
-                    values, times = np.unique(h, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(times)], ["hash", "total"])
+                    held.append(np.unique(h, return_counts=True))
+                    if len(held) > 64:
+                        held = [merged(held)]
+                        if len(held[0][0]) > HELD_TERMS:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["hash", "total"])
                 elif len(sums):
                     at = np.minimum(np.searchsorted(wanted.value, h), len(sums) - 1)
                     sums += np.bincount(at[wanted.value[at] == h], minlength=len(sums))
         if wanted and len(sums):
             some = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(wanted.value[some]), pa.array(sums[some])], ["hash", "total"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(held)], ["hash", "total"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["hash", "total"])
 
     found = docs.select("text").mapInArrow(run, "hash bigint, total bigint").groupBy("hash").agg(F.sum("total").alias("total"))
     return found if few else found.join(terms, "hash", "left_semi").union(found.where("hash is null"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, ws: Workspace, generalise: float, remove: float, support: int) -> DataFrame:
-    """(entity, term, action) for each term that gives an entity away."""
+def lowest(k, n, doubt: float):
+    """The lower end of Wilson's interval for a probability of which k of n cases were seen."""
+    z = doubt * doubt
+    return (k + z / 2 - doubt * F.sqrt(k * (n - k) / n + z / 4)) / (n + z)
+
+
+def disclosures(docs: DataFrame, found: DataFrame, ws: Workspace, generalise: float, remove: float, support: int, doubt: float = 1.0) -> DataFrame:
+    """(entity, term, action, near_only) for each term that gives an entity away; near_only: of fewer contexts than ``support``, and nowhere but near the entity."""
     near = found.where("term is null and entity is not null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
-    pairs = found.where("term is not null").groupBy("entity", "term", "hash").agg(F.count("*").alias("n_pair"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = ws.stash(pairs, "pairs")
+    pairs = found.where("term is not null").groupBy("entity", "term", "hash").agg(F.count("*").alias("n_pair"), F.sum("n").alias("n_near"), F.countDistinct("context").alias("contexts"))
+    pairs = ws.stash(pairs, "pairs", compression="zstd")
     counts = ws.stash(occurrences(docs, pairs.select("hash").distinct()), "counts")
     total = counts.where("hash is null").agg(F.sum("total")).first()[0] or 1
     inside = found.where("entity is null").groupBy("hash").agg(F.sum("n").alias("inside"))
     counts = counts.join(inside, "hash", "left").withColumn("total", F.col("total") - F.coalesce("inside", F.lit(0)))
     share = pairs.join(near, "entity").join(counts, "hash").withColumn("p", F.least(F.lit(1.0), F.col("n_entity") / F.lit(total)))
-    ic, pmi = -F.log2("p"), F.log2(F.least(F.lit(1.0), F.col("n_pair") / F.col("total")) / F.col("p"))
+    few, away = F.col("contexts") < support, F.greatest(F.col("total") - F.col("n_near"), F.lit(0))
+    part = F.when(few, lowest(F.col("contexts"), F.col("contexts") + away, doubt)).otherwise(F.least(F.lit(1.0), F.col("n_pair") / F.col("total")))
+    ic, pmi = -F.log2("p"), F.log2(part / F.col("p"))
     share = share.withColumns({"ic": ic, "pmi": pmi}).where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
-    return share.select("entity", "term", F.when(F.col("pmi") >= remove * F.col("ic"), F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
+    return share.select("entity", "term", F.when(F.col("pmi") >= remove * F.col("ic"), F.lit("remove")).otherwise(F.lit("generalise")).alias("action"), (few & (away == 0)).alias("near_only"))
 
 
 def rewrite(text: str, look: re.Pattern, actions: dict[str, str]) -> tuple[str, int, int, int]:
@@ -162,16 +186,19 @@ def rewrite(text: str, look: re.Pattern, actions: dict[str, str]) -> tuple[str,
 _RESULT = StructType([StructField("text", StringType()), StructField("entities", IntegerType()), StructField("generalised", IntegerType()), StructField("removed", IntegerType())])
 
 
-def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: int = 8, generalise: float = 0.9, remove: float = 0.97, support: int = 3, report: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: int = 8, generalise: float = 0.9, remove: float = 0.97, support: int = 3, doubt: float = 1.0, report: bool = True) -> DataFrame:
     """All documents with sanitised texts; with ``report``, also how many entities were replaced and terms generalised and removed."""
     patterns = patterns or PATTERNS
     maybe = F.col("text").rlike(MAYBE) if patterns is PATTERNS else F.col("text").isNotNull()
     uid = F.xxhash64("doc_id", "text")
     ws = Workspace(docs.sparkSession, "pii")
     found = ws.stash(mentions(docs.where(maybe).select(uid.alias("uid"), F.col("text").cast("string")), patterns, window), "mentions", compression="zstd")
-    bad = disclosures(docs.select("text"), found, ws, generalise, remove, support)
+    bad = ws.stash(disclosures(docs.select("text"), found, ws, generalise, remove, support, doubt), "disclosures", compression="zstd")
+    # terms that stand nowhere but near the entity are joined where they stand; a join of all texts of an entity with all its terms would grow with their product
+    everywhere = found.where("entity is not null").select("uid", "entity").distinct().join(bad.where("not near_only").drop("near_only"), "entity", "left")
+    there = found.where("entity is not null and term is not null").select("uid", "entity", "term").join(bad.where("near_only").drop("near_only"), ["entity", "term"])
     # a term that one entity wants removed and another generalised is removed
-    worst = found.where("entity is not null").select("uid", "entity").distinct().join(bad, "entity", "left").groupBy("uid", "term").agg(F.max("action").alias("action"))
+    worst = everywhere.select("uid", "term", "action").union(there.select("uid", "term", "action")).groupBy("uid", "term").agg(F.max("action").alias("action"))
     by_row = ws.stash(worst.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "action")))).alias("actions")), "actions")
     look = finder(patterns)
 
