@@ -61,6 +61,13 @@ def test_case_and_marks_don_t_matter(spark):
     assert [r["doc_id"] for r in got.collect()] == [2]
 
 
+def test_other_texts_of_an_id_stay(spark):
+    leak, clean = words(3, 30), "clean words that nobody tests"
+    docs = table(spark, [(1, leak), (1, clean), (None, clean), (2, leak)])
+    got = dc.drop_leaks(docs, table(spark, [(1, leak)], ITEMS)).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == [(-1, clean), (1, clean)]
+
+
 def test_postings_round_trip():
     x = np.array([0, 1, 127, 128, 16383, 16384, 2**28, 2**35 - 1])
     raw, size = dc.pack(x)

@@ -84,6 +84,12 @@ def test_repeated_rows_of_one_id(spark):
     assert rows(neardup.drop_near_duplicates(docs).select("doc_id")) == [(1,), (2,)]
 
 
+def test_other_texts_of_an_id_stay(spark):
+    copy, clean = "the same long enough text", ["nobody else wrote this one", "nor has anyone seen that"]
+    docs = table(spark, [(1, copy), (None, copy), (None, clean[0]), (2, copy), (2, clean[1])])
+    assert rows(neardup.drop_near_duplicates(docs).select("doc_id", "text")) == sorted([(1, copy), (None, clean[0]), (2, clean[1])], key=str)
+
+
 def test_empty_table(spark):
     docs = table(spark, [])
     assert neardup.near_duplicates(docs).count() == 0

@@ -263,7 +263,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that match; documents of null id can't be named and stay."""
+    """docs without those that match, known by id and text; documents of null id can't be named and stay."""
     ws = Workspace(docs.sparkSession, "leaks")
-    bad = ws.stash(find_leaks(docs, benchmark, **options).select("doc_id").distinct(), "bad")
-    return docs.join(small(bad), "doc_id", "left_anti")
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    named = docs.where("doc_id is not null").select(own.alias("doc_id"), "text")
+    bad = small(ws.stash(find_leaks(named, benchmark, **options).select(F.col("doc_id").alias("bad_row")).distinct(), "bad"))
+    return docs.join(bad, docs["doc_id"].isNotNull() & (own == bad["bad_row"]), "left_anti")

@@ -15,8 +15,8 @@ one comparison each.
 
 Defined results: null and empty texts, and texts without tokens, are nobody's duplicates. A text of one or
 two tokens is a duplicate of texts with the same tokens only. Of a group, the document of the smallest id
-stays; null ids come last. Rows that repeat in id and text count as copies, and one stays. Other
-columns don't matter, whatever their names.
+stays; null ids come last. Rows that repeat in id and text count as copies, and one stays. What goes is known by id and text, so other
+texts of the same id, or of null ids, stay. Other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _hashes(t, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, tables: int = 11, width: int = 2, seed: int = 1) -> DataFrame:
-    """For each document with tokens: its node and the tuples of both collections."""
+    """For each document (doc_id, text, text_hash) with tokens: its node and the tuples of both collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = scramble(seed, 2 * tables * width)
@@ -66,9 +66,9 @@ def sketch(docs: DataFrame, tables: int = 11, width: int = 2, seed: int = 1) ->
                     low = np.minimum.reduceat((grams * a) >> np.uint64(32), first[rows])
                     tuples[:, k // width] = mix(tuples[:, k // width] + low + np.uint64(k))
                 flat = pa.array(tuples.ravel().view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(rows)), pa.array(node[rows].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (2 * tables)), flat)], ["doc_id", "node", "tuples"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo).take(pa.array(rows)) for c in (0, 2)), pa.array(node[rows].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (2 * tables)), flat)], ["doc_id", "text_hash", "node", "tuples"])
 
-    return docs.mapInArrow(run, "doc_id bigint, node bigint, tuples array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, text_hash bigint, node bigint, tuples array<bigint>")
 
 
 def buckets(nodes: DataFrame, tables: int) -> DataFrame:
@@ -142,11 +142,11 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         last, k = mark, k + 1
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, tables: int = 11, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document that has duplicates: its group, named by the id that stays, the group's size, and whether it is the one that stays."""
+def _members(docs: DataFrame, threshold: float = 0.5, tables: int = 11, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, root, group_id, n_docs) of each document that has duplicates."""
     ws = Workspace(docs.sparkSession, "neardup")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    drawn = ws.stash(sketch(docs, tables, width), "sketch", compression="zstd")
+    drawn = ws.stash(sketch(docs.withColumn("text_hash", F.xxhash64("text")), tables, width), "sketch", compression="zstd")
     nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("tuples").alias("tuples"))
     hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     met = buckets(nodes, tables).withColumn("hub", hub)
@@ -170,20 +170,32 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.5, tables: int = 11, w
         if not more.isEmpty():
             roots = components(good.union(more), ws, "2")
 
-    member = rooted(drawn.select("doc_id", "node"), "node", "root")
+    member = rooted(drawn.select("doc_id", "text_hash", "node"), "node", "root")
     group = member.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    return member.join(group, "root").select("doc_id", "group_id", "n_docs", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("keep"))
+    return member.join(group, "root").select("doc_id", "text_hash", "root", "group_id", "n_docs")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """A row for each document that has duplicates: its group, named by the id that stays, the group's size, and whether it is the one that stays."""
+    return _members(docs, **options).select("doc_id", "group_id", "n_docs", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each group."""
     ws = Workspace(docs.sparkSession, "dedup")
-    found = ws.stash(near_duplicates(docs, **options), "groups")
-    gone = small(found.where("not keep").select(F.col("doc_id").alias("gone_id")).distinct())
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    # ids that stand for more than one row of their group: one row for each text stays
-    again = ws.stash(found.where("keep").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "again")
+    found = ws.stash(_members(docs, **options), "groups")
+    ours = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    marked = found.withColumn("stays", ours == F.min(ours).over(Window.partitionBy("root")))
+    marked = ws.stash(marked.groupBy("doc_id", "text_hash").agg(F.bool_or("stays").alias("stays"), F.count("*").alias("n")), "marked")
+
+    def of(rows: DataFrame):
+        rows = small(rows.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")))
+        return rows, docs["doc_id"].eqNullSafe(rows["found_id"]) & (F.xxhash64(docs["text"].cast("string")) == rows["found_hash"])
+
+    kept = docs.join(*of(marked.where("not stays")), "left_anti")
+    # one of the rows that repeat in id and text stays
+    again = marked.where("stays and n > 1")
     if again.isEmpty():
         return kept
-    is_again = docs["doc_id"].eqNullSafe(again["again_id"])
+    again, is_again = of(again)
     return kept.join(again, is_again, "left_anti").unionByName(kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"]))
