@@ -38,6 +38,20 @@ def test_probabilities_add_up(model):
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_rare_words_cost_more_than_ordinary_ones(spark):
+    r = random.Random(2)
+    often, seldom = ([f"{x}{k}" for k in range(n)] for x, n in (("a", 992), ("b", 400)))
+    texts = [" ".join(often)] * 8 + [" ".join(seldom)] * 4 + [" ".join(f"c{k}x{j}" for j in range(100)) for k in range(40)]
+    model = maxent.train(table(spark, list(enumerate(texts))))
+    counts = maxent.slot_counts(table(spark, list(enumerate(texts))))
+    # over the slots of a symbol, the shares add up
+    tail = model.symbol >= maxent.CLASSES * maxent.MEMBERS - maxent.TAIL
+    assert np.allclose(np.bincount(model.symbol[tail], np.exp(model.share[tail]))[-maxent.TAIL :], 1, atol=1e-3) and not model.share[~tail].any() and counts.sum() == 8 * 992 + 4 * 400 + 4000
+    known, unknown = (" ".join(f"{x}{r.randrange(400)}{y}" for _ in range(300)) for x, y in (("b", ""), ("q", "z")))
+    got = {x["doc_id"]: x["perplexity"] for x in maxent.score(table(spark, [(1, known), (2, unknown)]), model).collect()}
+    assert got[2] > 4 * got[1]
+
+
 def test_scores_against_a_loop(spark, model):
     from textmill.llm.common import tokens_in
 

@@ -1,8 +1,8 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-A word is known by the upper 16 bits of its hash. The most frequent of these slots are symbols of their own, all others
+A word is known by the upper ``SLOT_BITS`` bits of its hash. The most frequent of these slots are symbols of their own, all others
 share ``TAIL`` symbols (as words before, ``TAIL_BEFORE``), so there are ``CLASSES`` x ``MEMBERS`` symbols, 32 x 32. A symbol's probability after w2 w1 is that of its class
-times that of the symbol in its class; both are softmaxes over weights that are summed from four features: none (the
+times that of the symbol in its class and, for a word of the tail, times the slot's share of its symbol over the corpus (``UNSEEN`` added to every count); the former two are softmaxes over weights that are summed from four features: none (the
 bias), the word before (w1), the two words before (w2 w1), and the word before that one alone (the skip w2 _). Features
 are hashed to rows of a table of ``ROWS_CLASS`` rows for classes and, together with the class, of one of ``ROWS_MEMBER`` rows for members.
 
@@ -30,7 +30,9 @@ from textmill.llm.common import mix, tokens_in
 
 CLASSES = MEMBERS = 32
 TAIL, TAIL_BEFORE = 32, 4
-SLOT_BITS = 16
+SLOT_BITS = 20
+#: What is added to the count of every slot of the tail, for words that the corpus lacks.
+UNSEEN = 0.5
 ROWS_CLASS, ROWS_MEMBER = 1 << 13, 1 << 15
 #: Tokens to a gradient step: a task's first, and its largest; each is twice the one before until then.
 FIRST, BLOCK = 1 << 13, 1 << 18
@@ -67,9 +69,17 @@ def symbols(counts: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def shares(counts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The log-probability of each slot in its symbol: 0 for those that have one of their own."""
+    n = counts + UNSEEN
+    out = np.log(n / np.bincount(symbol, n)[symbol])
+    out[symbol < CLASSES * MEMBERS - TAIL] = 0
+    return out.astype(np.float32)
+
+
 class Weights:
-    def __init__(self, symbol: np.ndarray):
-        self.symbol = symbol
+    def __init__(self, symbol: np.ndarray, share: np.ndarray):
+        self.symbol, self.share = symbol, share
         self.tables = [np.zeros((ROWS_CLASS, CLASSES), np.float32), np.zeros((ROWS_MEMBER, MEMBERS), np.float32)]
 
 
@@ -107,13 +117,14 @@ def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray
         table[own] += rate * g / np.sqrt(seen[own] + CALM)[:, None]
 
 
-def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, symbol, row) of all tokens, a block at a time; rows count on over the batch."""
+def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, symbol, row, slot) of all tokens, a block at a time; rows count on over the batch."""
     held, n, sizes = [], 0, sizes or itertools.repeat(BLOCK)
     size = next(sizes)
     for lo, hi, t in tokens_in(column):
         if len(t.hash):
-            s = symbol[(t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+            slot = (t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            s = symbol[slot]
             row = t.row()
             before = np.where(s < CLASSES * MEMBERS - TAIL, s, CLASSES * MEMBERS - TAIL + s % TAIL_BEFORE)
             w1, w2 = np.roll(before, 1), np.roll(before, 2)
@@ -121,7 +132,7 @@ def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> I
             w1[begin] = w2[begin] = _START
             second = begin[begin + 1 < len(s)] + 1
             w2[second] = _START
-            held.append((w2 * 2048 + w1, s, row + lo))
+            held.append((w2 * 2048 + w1, s, row + lo, slot))
             n += len(s)
         while n >= size:
             parts = [np.concatenate(x) for x in zip(*held)]
@@ -158,7 +169,7 @@ def train_pass(docs: DataFrame, weights: Weights, rate: float) -> DataFrame:
         met = [np.zeros(len(t), np.float32) for t in tables]
         sizes = _growing()
         for b in batches:
-            for context, s, _ in _blocks(b.column(0), start.symbol, sizes):
+            for context, s, _, _ in _blocks(b.column(0), start.symbol, sizes):
                 contexts, pairs, ctx, events, pair, times, _ = _events(context, s)
                 pair_times = np.bincount(pair, times, len(pairs))
                 _step(tables[0], seen[0], met[0], features(contexts, CLASSES, ROWS_CLASS), ctx, pairs % CLASSES, pair_times, rate)
@@ -189,7 +200,9 @@ def train_pass(docs: DataFrame, weights: Weights, rate: float) -> DataFrame:
 
 def train(docs: DataFrame, rounds: int = 2, rate: float = 0.2) -> Weights:
     """Weights from all documents, each used once."""
-    weights = Weights(symbols(slot_counts(docs)))
+    counts = slot_counts(docs)
+    symbol = symbols(counts)
+    weights = Weights(symbol, shares(counts, symbol))
     turn = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         for r in train_pass(docs.where(turn == k), weights, rate).toLocalIterator(prefetchPartitions=True):
@@ -206,11 +219,11 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
         w = shared.value
         for b in batches:
             total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
-            for context, s, row in _blocks(b.column(1), w.symbol):
+            for context, s, row, slot in _blocks(b.column(1), w.symbol):
                 contexts, pairs, ctx, events, pair, _, inverse = _events(context, s)
                 by_class = _softmax(w.tables[0], features(contexts, CLASSES, ROWS_CLASS))[ctx, pairs % CLASSES]
                 by_member = _softmax(w.tables[1], features(pairs // CLASSES, pairs % CLASSES, ROWS_MEMBER))[pair, events % MEMBERS]
-                total += np.bincount(row, (by_class[pair] + by_member)[inverse], b.num_rows)
+                total += np.bincount(row, (by_class[pair] + by_member)[inverse] + w.share[slot], b.num_rows)
                 n += np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, mask=n == 0), pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "n_tokens", "log_probability", "perplexity"])
 
