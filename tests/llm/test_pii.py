@@ -80,7 +80,7 @@ def test_entities_named_once_or_twice_are_judged(spark):
     once = f"{words(500, 30)} oncely nina@secret.org {words(501, 30)}"
     twice = [f"{words(k, 30)} twicely tom@secret.org {words(k + 10, 30)} mention of twicely" if k == 510 else f"{words(k, 30)} doubly tom@secret.org {words(k + 10, 30)}" for k in (510, 511, 512)]
     docs = table(spark, list(enumerate([*plain, once, *twice, once])))
-    got = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.sanitise(docs, doubt=1.0).collect()}
     assert all("oncely" not in got[k]["text"] and (got[k]["generalised"], got[k]["removed"]) == (1, 0) for k in (200, 204))
     assert all("doubly" not in got[k]["text"] and (got[k]["generalised"], got[k]["removed"]) == (1, 0) for k in (202, 203))
     # one occurrence of two is away from the entity: too little

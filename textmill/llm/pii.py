@@ -143,7 +143,7 @@ def lowest(k, n, doubt: float):
     return (k + z / 2 - doubt * F.sqrt(k * (n - k) / n + z / 4)) / (n + z)
 
 
-def disclosures(docs: DataFrame, found: DataFrame, ws: Workspace, generalise: float, remove: float, support: int, doubt: float = 1.0) -> DataFrame:
+def disclosures(docs: DataFrame, found: DataFrame, ws: Workspace, generalise: float, remove: float, support: int, doubt: float = 1.645) -> DataFrame:
     """(entity, term, action, near_only) for each term that gives an entity away; near_only: of fewer contexts than ``support``, and nowhere but near the entity."""
     near = found.where("term is null and entity is not null").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     pairs = found.where("term is not null").groupBy("entity", "term", "hash").agg(F.count("*").alias("n_pair"), F.sum("n").alias("n_near"), F.countDistinct("context").alias("contexts"))
@@ -186,7 +186,7 @@ def rewrite(text: str, look: re.Pattern, actions: dict[str, str]) -> tuple[str,
 _RESULT = StructType([StructField("text", StringType()), StructField("entities", IntegerType()), StructField("generalised", IntegerType()), StructField("removed", IntegerType())])
 
 
-def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: int = 8, generalise: float = 0.9, remove: float = 0.97, support: int = 3, doubt: float = 1.0, report: bool = True) -> DataFrame:
+def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: int = 8, generalise: float = 0.9, remove: float = 0.97, support: int = 3, doubt: float = 1.645, report: bool = True) -> DataFrame:
     """All documents with sanitised texts; with ``report``, also how many entities were replaced and terms generalised and removed."""
     patterns = patterns or PATTERNS
     maybe = F.col("text").rlike(MAYBE) if patterns is PATTERNS else F.col("text").isNotNull()
