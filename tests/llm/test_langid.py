@@ -81,6 +81,29 @@ def test_long_noise_is_rejected_and_short_texts_are_not(spark, model):
     assert [(x["lang"] == "und", x["accepted"]) for x in got] == [(True, False), (False, True), (False, True)]
 
 
+FOREIGN = {
+    "nl": "de oude man liep langzaam door de straat en keek naar de huizen die er al heel lang stonden zonder dat iemand wist wie daar vroeger gewoond had",
+    "it": "la vecchia casa si trova sulla collina e nessuno sa chi la costruì quando arrivò l'inverno e tutte le strade erano coperte di neve bianca",
+    "ca": "la vella casa es troba dalt del turó i ningú sap qui la va construir quan va arribar l'hivern i tots els camins eren coberts de neu",
+}
+
+
+def test_foreign_texts_are_rejected_though_some_rows_are_mislabelled(spark):
+    rows = [(t, lang) for text, lang in ((EN, "en"), (DE, "de"), (FR, "fr")) for t in pieces(text) * 3]
+    rows += [(DE, "en"), (FOREIGN["nl"], "de"), (EN, "fr")]
+    fitted = langid.fit(table(spark, [(i, *r) for i, r in enumerate(rows)]))
+    texts = [*FOREIGN.values(), EN, DE, FR]
+    got = {r["doc_id"]: r["accepted"] for r in langid.identify(table(spark, [(k, f"{t} " * 12) for k, t in enumerate(texts)]), fitted).collect()}
+    assert [got[k] for k in range(6)] == [False] * 3 + [True] * 3
+
+
+def test_ties_go_to_the_first_by_name(spark):
+    # the same text in two languages, so that every score ties
+    fitted = langid.fit(table(spark, [(i, EN, lang) for i, lang in enumerate(["xb", "xa"] * 10)]))
+    got = langid.identify(table(spark, [(1, EN), (1, EN)]), fitted).collect()
+    assert [(r["lang"], r["share"], len(r["spans"])) for r in got] == [("xa", 1.0, 1)] * 2
+
+
 def test_hard_cases(spark, model):
     docs = clashing(table(spark, [*hard(EN), (9, long_text()), (10, (EN + " ") * 10_000), (11, "12345 67890 !!"), (12, "a\x00b")]))
     got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}

@@ -10,9 +10,11 @@ is found for all blocks at once, then the blocks of a document are chained and t
 plain pass, for a text of any length, in numpy steps that don't grow with it.
 
 The trigram model is fitted on labelled rows, ``per_language`` of each language at most, those whose ids have the smallest hashes.
+Every fifth of them isn't counted, but scored: those whose own language scores them best give the median score of their language and its spread
+(the median deviation, times 1.4826), so that a few rows of wrong labels move neither.
 
 Words with digits in them say nothing about the language. Defined results: a text without other words (null and empty ones too) is ``zxx``, with no spans. A document whose
-mean trigram score lies below the lowest of the fitted rows of its language, less ``slack``, is ``und``; a mean of few trigrams varies more, so for n of them, n under ``TYPICAL``, slack
+mean trigram score lies ``slack`` spreads below the median of its language is ``und``; a mean of few trigrams varies more, so for n of them, n under ``TYPICAL``, the spread
 is sqrt(TYPICAL / n) times as much. Both are not accepted, and neither are documents
 most of whose words are of other languages than those trained. Repeated rows get a result each; ties go to the
 language of the word before, else to the first by name. Rows of null language are labelled like all others, but not fitted.
@@ -21,6 +23,7 @@ language of the word before, else to the first by name. Rows of null language ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,12 @@ from textmill.llm.common import Tokens, mix, small, tokens_in
 BITS = 16
 BLOCK = 128
 FAR = np.float32(-30.0)
-PIECE = 1 << 21
+#: Every so many fitted rows, one is held out for the spread of scores; of fewer than LEAST_HELD such rows, all are used.
+HELD_OUT, LEAST_HELD = 5, 8
 #: Trigrams of a text of usual length.
 TYPICAL = 1000
+#: The least spread of a language's scores.
+LEAST_SPREAD = 0.05
 
 #: First code point of each range, and its script.
 _RANGES = [(0, ""), (65, "Latn"), (91, ""), (97, "Latn"), (123, ""), (0xAA, "Latn"), (0xAB, ""), (0xB5, "Latn"), (0xB6, ""), (0xBA, "Latn"), (0xBB, ""), (0xC0, "Latn"), (0xD7, ""), (0xD8, "Latn"), (0xF7, ""), (0xF8, "Latn"), (0x2B0, ""), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "Armn"), (0x590, "Hebr"), (0x600, "Arab"), (0x700, "Syrc"), (0x750, "Arab"), (0x780, "Thaa"), (0x800, ""), (0x900, "Deva"), (0x980, "Beng"), (0xA00, "Guru"), (0xA80, "Gujr"), (0xB00, "Orya"), (0xB80, "Taml"), (0xC00, "Telu"), (0xC80, "Knda"), (0xD00, "Mlym"), (0xD80, "Sinh"), (0xE00, "Thai"), (0xE80, "Laoo"), (0xF00, "Tibt"), (0x1000, "Mymr"), (0x10A0, "Geor"), (0x1100, "Hang"), (0x1200, "Ethi"), (0x13A0, ""), (0x1780, "Khmr"), (0x1800, "Mong"), (0x18B0, ""), (0x1E00, "Latn"), (0x1F00, "Grek"), (0x2000, ""), (0x3040, "Kana"), (0x3100, ""), (0x3130, "Hang"), (0x3190, ""), (0x3400, "Hani"), (0x4DC0, ""), (0x4E00, "Hani"), (0xA000, ""), (0xAC00, "Hang"), (0xD7B0, ""), (0xF900, "Hani"), (0xFB00, "Latn"), (0xFB07, ""), (0xFB50, "Arab"), (0xFE00, ""), (0xFF21, "Latn"), (0xFF3B, ""), (0xFF41, "Latn"), (0xFF5B, ""), (0xFF66, "Kana"), (0xFFA0, ""), (0x20000, "Hani"), (0x30000, "")]
@@ -75,7 +81,11 @@ class Model:
         self.table = np.log((counts + 0.5) / (total + 0.5 * len(counts))).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         self.uses = share >= 0.01  # script x language
-        self.floor, self.slack = np.full(len(langs), -np.inf), 0.0
+        self.middle, self.spread, self.slack = np.full(len(langs), -np.inf), np.zeros(len(langs)), 0.0
+
+    def floor(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The lowest mean score of n trigrams that a language accepts."""
+        return self.middle[lang] - self.slack * self.spread[lang] * np.sqrt(np.maximum(1.0, TYPICAL / np.maximum(n, 1)))
 
     def score(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For every word: scores by state (the languages, then other scripts), its word type, and by type the script, trigrams, and plain scores."""
@@ -147,11 +157,12 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     return out
 
 
-def fit(docs: DataFrame, per_language: int = 1000, slack: float = 1.0, seed: int = 5) -> Model:
+def fit(docs: DataFrame, per_language: int = 1000, slack: float = 15.0, seed: int = 5) -> Model:
     """The model of the languages in ``lang``, from ``per_language`` rows of each at most."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id").distinct()
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(small(ids), "doc_id", "left_semi").select("lang", "text")
+    ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h")).withColumn("r", rank).where(F.col("r") <= per_language)
+    ids = ids.groupBy("doc_id").agg((F.min("r") % HELD_OUT == 0).alias("held"))
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(small(ids), "doc_id").select("lang", "text", "held")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -168,30 +179,38 @@ def fit(docs: DataFrame, per_language: int = 1000, slack: float = 1.0, seed: int
                 some = np.flatnonzero(n)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(n[some])], ["lang", "slot", "n"])
 
-    found = rows.mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where("not held").mapInArrow(count, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique()) if len(found) else []
     table = np.zeros(((1 << BITS) + len(SCRIPTS), len(langs)))
     table[found["slot"], [langs.index(x) for x in found["lang"]]] = found["n"]
     model = Model(langs, table[: 1 << BITS], table[1 << BITS :])
     model.slack = slack
 
-    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column(0).to_pylist()
             for lo, hi, t in tokens_in(b.column(1)):
-                means = _means(model, t)
-                at = [langs.index(x) for x in names[lo:hi]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.string()), pa.array(means[np.arange(hi - lo), at])], ["lang", "mean"])
+                at = np.array([langs.index(x) if x in langs else -1 for x in b.column(0).slice(lo, hi - lo).to_pylist()])
+                mean, n = _means(model, t)
+                own = mean[np.arange(hi - lo), at]
+                ok = (at >= 0) & (n > 0) & (own >= mean.max(axis=1, initial=-np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array(at[ok], pa.int32()), pa.array(own[ok]), pa.array(n[ok]), b.column(2).slice(lo, hi - lo).filter(pa.array(ok))], ["lang", "mean", "n", "held"])
 
     if langs:
-        for r in rows.mapInArrow(lowest, "lang string, mean double").where("not isnan(mean)").groupBy("lang").agg(F.min("mean").alias("low")).collect():
-            model.floor[langs.index(r["lang"])] = r["low"]
+        # per_language numbers of each language at most
+        got = rows.mapInArrow(means, "lang int, mean double, n double, held boolean").toPandas()
+        for k in range(len(langs)):
+            own = got[got["lang"] == k]
+            own = own[own["held"]] if own["held"].sum() >= LEAST_HELD else own
+            if len(own):
+                model.middle[k] = own["mean"].median()
+                off = (own["mean"] - model.middle[k]).abs() * np.sqrt(np.minimum(1.0, own["n"] / TYPICAL))
+                model.spread[k] = max(1.4826 * off.median(), LEAST_SPREAD)
     return model
 
 
-def _means(model: Model, t: Tokens) -> np.ndarray:
-    """Mean trigram score of each row's words of trained scripts, by language; NaN where there are none."""
-    out = np.full((len(t.first) - 1, len(model.langs)), np.nan)
+def _means(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Mean trigram score of each row's words of trained scripts, by language, 0 where there are none; and the number of those trigrams."""
+    out, n = np.zeros((len(t.first) - 1, len(model.langs))), np.zeros(len(t.first) - 1)
     if len(t.hash):
         grams, new, script, which = distinct_words(t)
         ok = model.uses[script].any(axis=1) & (script != SCRIPTS.index(""))
@@ -200,45 +219,58 @@ def _means(model: Model, t: Tokens) -> np.ndarray:
         rows = t.row()
         n = np.bincount(rows, size[which], len(out))
         for k in range(len(model.langs)):
-            s = np.bincount(rows, plain[which, k], len(out))
-            out[n > 0, k] = s[n > 0] / n[n > 0]
-    return out
+            out[:, k] = np.bincount(rows, plain[which, k], len(out)) / np.maximum(n, 1)
+    return out, n
+
+
+@dataclass
+class Labels:
+    """Of some rows: the number of each one's main language in ``names``, that language's share of words, and whether it is accepted; and spans: those of row r are ``cut[r]:cut[r + 1]``."""
+
+    names: list[str]
+    main: np.ndarray
+    share: np.ndarray
+    accepted: np.ndarray
+    cut: np.ndarray
+    code: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
 
-def label(model: Model, t: Tokens, penalty: float) -> Iterator[tuple[str, float, list[tuple[str, int, int]], bool]]:
-    """For each row: its main language, that language's share of words, the spans, and whether it is accepted."""
-    rows = len(t.first) - 1
+def label(model: Model, t: Tokens, penalty: float) -> Labels:
+    rows, none = len(t.first) - 1, np.zeros(0, np.int64)
+    names = sorted({*model.langs, *ALONE.values(), "und", "zxx"})
     if not len(t.hash):
-        yield from (("zxx", 0.0, [], False) for _ in range(rows))
-        return
+        return Labels(names, np.full(rows, names.index("zxx")), np.zeros(rows), np.zeros(rows, bool), np.zeros(rows + 1, np.int64), none, none, none)
     scores, which, script, size, plain = model.score(t)
     state = viterbi(scores[which], t.first, penalty)
-    names = [*model.langs, *(ALONE[s] for s in SCRIPTS)]
+    trained = len(model.langs)
+    number = np.array([names.index(x) for x in [*model.langs, *(ALONE[s] for s in SCRIPTS)]])
     kind = script[which]
-    code = np.where(state < len(model.langs), state, len(model.langs) + kind.astype(np.int64))
+    code = number[np.where(state < trained, state, trained + kind.astype(np.int64))]
     letters = kind != SCRIPTS.index("")
     row = t.row()
-    new = np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])])
-    begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(code))
-    cut = np.searchsorted(begin, t.first)
+    begin = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (row[1:] != row[:-1])]))
     votes = np.bincount(row[letters] * len(names) + code[letters], minlength=rows * len(names)).reshape(rows, -1)
-    sums = np.bincount(row, np.where((state < len(model.langs)) & letters, plain[which, np.minimum(state, len(model.langs) - 1)], 0) if model.langs else np.zeros(len(row)), rows)
-    grams = np.bincount(row, np.where(state < len(model.langs), size[which] * letters, 0), rows)
-    for r in range(rows):
-        n = int(votes[r].sum())
-        if not n:
-            yield "zxx", 0.0, [], False
-            continue
-        by_name: dict[str, int] = {}
-        for k in np.flatnonzero(votes[r]):
-            by_name[names[k]] = by_name.get(names[k], 0) + int(votes[r, k])
-        main = min(by_name, key=lambda x: (-by_name[x], x))
-        ok = main in model.langs
-        if ok and grams[r] and sums[r] / grams[r] < model.floor[model.langs.index(main)] - model.slack * max(1.0, (TYPICAL / grams[r]) ** 0.5):
-            main, ok = "und", False
-        base = t.first[r]
-        yield main, by_name.get(main, 0) / n, [(names[code[b]], int(b - base), int(e - base)) for b, e in zip(begin[cut[r] : cut[r + 1]], stop[cut[r] : cut[r + 1]])], ok
+    words, main = votes.sum(axis=1), votes.argmax(axis=1)  # names are sorted, so the first of ties is the first by name
+    share = votes.max(axis=1) / np.maximum(words, 1)
+    counted = letters & (state < trained)
+    grams = np.bincount(row, size[which] * counted, rows)
+    lang_of = np.full(len(names), -1)
+    lang_of[number[:trained]] = np.arange(trained)
+    ok = (words > 0) & (lang_of[main] >= 0)
+    if trained:
+        sums = np.bincount(row, np.where(counted, plain[which, np.minimum(state, trained - 1)], 0), rows)
+        low = ok & (grams > 0) & (sums / np.maximum(grams, 1) < model.floor(lang_of[main], grams))
+        und = names.index("und")
+        main, share, ok = np.where(low, und, main), np.where(low, votes[:, und] / np.maximum(words, 1), share), ok & ~low
+    empty = words == 0  # such rows have no spans either
+    main, share = np.where(empty, names.index("zxx"), main), np.where(empty, 0.0, share)
+    stop = np.append(begin[1:], len(code))
+    keep = ~empty[row[begin]]
+    begin, stop = begin[keep], stop[keep]
+    of = row[begin]
+    return Labels(names, main, share, ok, np.searchsorted(of, np.arange(rows + 1)), code[begin], begin - t.first[of], stop - t.first[of])
 
 
 RESULT = "doc_id bigint, lang string, share double, spans array<struct<lang:string,first:int,last:int>>, accepted boolean"
@@ -249,11 +281,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
         for b in batches:
-            for lo, hi, t in tokens_in(b.column(1), PIECE):
-                lang, share, spans, ok = zip(*label(shared.value, t, penalty))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(lang), pa.array(share, pa.float64()), pa.array([[dict(zip(("lang", "first", "last"), s)) for s in x] for x in spans], kind), pa.array(ok)], ["doc_id", "lang", "share", "spans", "accepted"])
+            for lo, hi, t in tokens_in(b.column(1)):
+                x = label(shared.value, t, penalty)
+                names = pa.array(x.names, pa.string())
+                spans = pa.StructArray.from_arrays([names.take(pa.array(x.code)), pa.array(x.first, pa.int32()), pa.array(x.last, pa.int32())], ["lang", "first", "last"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), names.take(pa.array(x.main)), pa.array(x.share), pa.ListArray.from_arrays(pa.array(x.cut, pa.int32()), spans), pa.array(x.accepted)], ["doc_id", "lang", "share", "spans", "accepted"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, RESULT)
 
@@ -262,10 +295,8 @@ def drop_rejected(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataF
     """docs without those that are not accepted; their columns stay as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(BooleanType())
-    def accepted(text):
-        import pandas as pd
-
-        return pd.Series([x[3] for _, _, t in tokens_in(pa.array(text, pa.large_string()), PIECE) for x in label(shared.value, t, penalty)], dtype=bool)
+    @F.arrow_udf(BooleanType())
+    def accepted(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([label(shared.value, t, penalty).accepted for _, _, t in tokens_in(text)] or [np.zeros(0, bool)]))
 
-    return docs.where(accepted(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.where(accepted(F.col("text").cast("string")))
