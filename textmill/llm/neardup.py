@@ -7,11 +7,13 @@ Two documents of similarity s meet in some table with probability (1 - (1 - s^2)
 threshold of 0.5, 0.96 at 0.55, 0.99 at 0.65; 0.0007 at 0.05.
 
 Every candidate is verified by the exact Jaccard similarity of the sets. Documents of the same
-token sequence are one node from the start. In a round, each table's smallest node is compared with the others of its
+token sequence are one node from the start. First, each bucket's smallest node is compared with the others of its
 bucket; what passes is joined into components. Wherever a bucket still holds nodes of more than
-one component, all pairs across them are compared as well. Pairs within one component are left out, since
-they can't change it: the groups are exactly the components of all verified candidate pairs, and thousands of copies cost
-one comparison each.
+one component, pairs across components are compared as well: all of them in a bucket of ``FEW`` nodes at most. The nodes of larger buckets
+are joined by prefix filtering instead, which loses no pair: two sets of similarity t or more share one of the |a| - ceil(t |a|) + 1 terms of a that are rarest
+among those nodes, and one of b's. Pairs within one component are left out, since
+they can't change it, and never meet in that join: two components meet at the highest bit in which their hashes differ. So the groups are the components of all verified candidate pairs (and of
+pairs that only the prefix join met), and thousands of copies cost one comparison each.
 
 Defined results: null and empty texts, and texts without tokens, are nobody's duplicates. A text of one or
 two tokens is a duplicate of texts with the same tokens only. Of a group, the document of the smallest id
@@ -32,6 +34,8 @@ from pyspark.sql.types import DoubleType
 from textmill.llm.common import Workspace, mix, scramble, small, tokens_in
 
 SHINGLE = 3
+#: Nodes up to which all pairs of a bucket across components are compared.
+FEW = 32
 
 
 def _hashes(t, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,22 +97,36 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-@F.pandas_udf(DoubleType())
-def jaccard(a, b):
-    import pandas as pd
+#: Bytes of shingles that are compared at a time.
+COMPARED = 1 << 21
 
-    out = np.zeros(len(a))
-    last, x = None, None
-    for i, (p, q) in enumerate(zip(a, b)):
-        if p is not last:
-            last, x = p, np.frombuffer(p, np.uint32)
-        y = np.frombuffer(q, np.uint32)
-        s, l = (x, y) if len(x) < len(y) else (y, x)
-        at = np.searchsorted(l, s)
-        at[at == len(l)] = 0
-        both = int((l[at] == s).sum())
-        out[i] = both / (len(x) + len(y) - both)
-    return pd.Series(out)
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a column of sets, and where each set begins."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint32, int(at[-1])) if data is not None and at[-1] else np.zeros(0, np.uint32)
+    return flat[at[0] :], at - at[0]
+
+
+@F.arrow_udf(DoubleType())
+def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of sorted sets without repeats, a row at a time in name only: the sets of many rows are two sorted arrays of (row, shingle)."""
+    out, (x, i), (y, j) = np.zeros(len(a)), _flat(a), _flat(b)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(i + j, i[lo] + j[lo] + COMPARED // 4, "right")) - 1)
+        row = np.arange(hi - lo, dtype=np.uint64) << np.uint64(32)
+        n, m = np.diff(i[lo : hi + 1]), np.diff(j[lo : hi + 1])
+        p, q = np.repeat(row, n) | x[i[lo] : i[hi]], np.repeat(row, m) | y[j[lo] : j[hi]]
+        if len(p) and len(q):
+            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+            both = np.bincount((p[q[at] == p] >> np.uint64(32)).astype(np.int64), minlength=hi - lo)
+            out[lo:hi] = both / np.maximum(n + m - both, 1)
+        lo = hi
+    return pa.array(out)
 
 
 def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, ws: Workspace, name: str, threshold: float) -> DataFrame:
@@ -142,6 +160,39 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         last, k = mark, k + 1
 
 
+def across(docs: DataFrame, split: DataFrame, nodes: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
+    """Pairs (a, b) to compare of buckets (key, node, root, size) that hold more than one component."""
+    x, y = (split.where(F.col("size") <= FEW).select("key", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
+    pairs = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
+    hot = ws.stash(split.where(F.col("size") > FEW).select("node", "root").distinct(), "hot")
+    return pairs if hot.isEmpty() else pairs.union(_sharing(docs, hot, nodes, ws, threshold)).distinct()
+
+
+def _sharing(docs: DataFrame, hot: DataFrame, nodes: DataFrame, ws: Workspace, threshold: float) -> DataFrame:
+    """Pairs (a, b) of the nodes (node, root), of different roots, that share a term of their prefixes."""
+    kind = "node bigint, root bigint, size int, term bigint"
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                flat, first = _flat(part.column(2))
+                n = np.diff(first)
+                of = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(flat.astype(np.int64))], ["node", "root", "size", "term"])
+
+    found = _sets(docs, nodes.join(hot.select("node"), "node", "left_semi")).join(hot, "node").select("node", "root", "shingles")
+    all_terms = ws.stash(found.mapInArrow(terms, kind), "terms", compression="zstd")
+    common = all_terms.groupBy("term").agg(F.count("*").alias("n")).where("n > 1")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "term"))
+    kept = all_terms.join(common, "term", "left").withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1) & F.col("n").isNotNull())
+    levels = kept.select("node", "size", "term", F.xxhash64("root").bitwiseAND(0xFFFFFFFF).alias("h"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("level"))
+    levels = levels.select("node", "size", "term", "level", F.expr("shiftrightunsigned(h, level + 1)").alias("above"), F.expr("shiftrightunsigned(h, level) & 1").alias("bit"))
+    x, y = (levels.where(F.col("bit") == k).select("term", "level", "above", F.col("node").alias(f"n{k}"), F.col("size").alias(f"s{k}")) for k in (0, 1))
+    pairs = x.join(y, ["term", "level", "above"]).where(F.least("s0", "s1") >= threshold * F.greatest("s0", "s1") - 1e-9)
+    return pairs.select(F.least("n0", "n1").alias("a"), F.greatest("n0", "n1").alias("b")).distinct()
+
+
 def _members(docs: DataFrame, threshold: float = 0.5, tables: int = 11, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, root, group_id, n_docs) of each document that has duplicates."""
     ws = Workspace(docs.sparkSession, "neardup")
@@ -149,22 +200,22 @@ def _members(docs: DataFrame, threshold: float = 0.5, tables: int = 11, width: i
     drawn = ws.stash(sketch(docs.withColumn("text_hash", F.xxhash64("text")), tables, width), "sketch", compression="zstd")
     nodes = drawn.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("tuples").alias("tuples"))
     hub = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    met = buckets(nodes, tables).withColumn("hub", hub)
-    first = ws.stash(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "edges-1")
+    met = ws.stash(buckets(nodes, tables).withColumn("hub", hub).where("node <> hub"), "met", compression="zstd")
+    first = ws.stash(met.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "edges-1")
+    nodes = ws.stash(nodes.select("node", "doc_id"), "nodes")
     good = verify(docs, first, nodes, ws, "1", threshold)
     roots = components(good, ws, "1")
 
-    # what failed and lies in two components still: all pairs across components in those buckets
     def rooted(df: DataFrame, node: str, root: str) -> DataFrame:
         own = roots.select(F.col("node").alias(node), F.col("root").alias(root))
         return df.join(own, node, "left").withColumn(root, F.coalesce(root, node))
 
-    apart = ws.stash(rooted(rooted(first.join(good, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"), "apart")
-    keys = met.join(small(apart.select(F.col("a").alias("hub"), F.col("b").alias("node"))), ["hub", "node"], "left_semi").select("key").distinct()
-    split = rooted(buckets(nodes, tables).join(keys, "key", "left_semi"), "node", "root")
-    x, y = (split.select("key", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in "ab")
-    across = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    second = ws.stash(across, "edges-2")
+    # what failed and lies in two components still
+    apart = ws.stash(rooted(rooted(first.join(good, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select(F.col("a").alias("hub"), F.col("b").alias("node")), "apart")
+    keys = met.join(small(apart), ["hub", "node"], "left_semi").select("key").distinct()
+    there = met.join(keys, "key", "left_semi").select("key", F.explode(F.array("hub", "node")).alias("node")).distinct()
+    split = ws.stash(rooted(there.join(there.groupBy("key").agg(F.count("*").alias("size")), "key"), "node", "root"), "split")
+    second = ws.stash(across(docs, split, nodes, ws, threshold).join(first, ["a", "b"], "left_anti"), "edges-2")
     if not second.isEmpty():
         more = verify(docs, second, nodes, ws, "2", threshold)
         if not more.isEmpty():
