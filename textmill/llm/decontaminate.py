@@ -9,8 +9,9 @@ shared folder; one index serves any number of benchmarks.
 A query first adds up, over all shards, in how many places each test term stands. Every run of
 ``phrase`` tokens of a test item is then looked up from its rarest term on: the term's places less the
 term's offset are where the run could begin; the next rarest term's places, less its offset, are
-intersected with them, and so on until none is left or all terms agree. For proximity, the ``anchors`` rarest
-terms of an item are taken; where a share of ``agree`` of them, and ``least`` at least, stand in one document with
+intersected with them, and so on until none is left or all terms agree. For proximity, an item as a whole, and each stretch of ``stretch`` tokens of it
+(every half stretch, one begins), gives its ``anchors`` rarest
+terms; where a share of ``agree`` of them, and ``least`` at least, stand in one document with
 offset-adjusted places that differ by no more than ``slop``, the item is near, in the item's order but for inserted,
 dropped or changed words between. A copy lacks the very words that were changed in it, and those may be the rarest, so the anchors are many.
 
@@ -21,6 +22,7 @@ as null. Rows that repeat are matched each and reported once. Very long texts ar
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +36,10 @@ from textmill.llm.common import Workspace, small, tokens_in
 SHARD_TOKENS = 1 << 20
 #: Test items that go to every task at a time; more are looked up in rounds of so many.
 ROUND_ITEMS = 20_000
+#: Postings that are looked at together for proximity.
+GATHERED = 1 << 18
 
-INDEX = "shard string, ids array<bigint>, begins array<bigint>, n_tokens bigint, terms binary, ends binary, postings binary"
+INDEX = "shard string, ids array<bigint>, begins array<bigint>, n_tokens bigint, terms binary, ends binary, places binary, postings binary"
 MATCH = "doc_id bigint, item_id bigint, kind string, matched int, doc_position int, item_position int"
 
 
@@ -73,8 +77,8 @@ def _shard(parts: list, ids: list, begins: list, name: str) -> dict:
     steps = np.diff(order, prepend=0)
     steps[new] = order[new]
     packed, size = pack(steps)
-    ends = np.cumsum(size)[np.concatenate([np.flatnonzero(new)[1:], [len(h)]]) - 1]
-    return {"shard": name, "ids": ids, "begins": begins, "n_tokens": len(h), "terms": ordered[new].tobytes(), "ends": ends.astype(np.int64).tobytes(), "postings": packed.tobytes()}
+    upto = np.concatenate([np.flatnonzero(new)[1:], [len(h)]])
+    return {"shard": name, "ids": ids, "begins": begins, "n_tokens": len(h), "terms": ordered[new].tobytes(), "ends": np.cumsum(size)[upto - 1].astype(np.int64).tobytes(), "places": np.diff(upto, prepend=0).astype(np.int32).tobytes(), "postings": packed.tobytes()}
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        schema = pa.schema([("shard", pa.string()), ("ids", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("terms", pa.binary()), ("ends", pa.binary()), ("postings", pa.binary())])
+        schema = pa.schema([("shard", pa.string()), ("ids", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("terms", pa.binary()), ("ends", pa.binary()), ("places", pa.binary()), ("postings", pa.binary())])
         parts, ids, begins, n, name = [], [], [], 0, uuid.uuid4().hex
         k = 0
         for b in batches:
@@ -108,7 +112,7 @@ class Shard:
     def __init__(self, row: dict):
         self.ids, self.begins, self.n = row["ids"], np.array(row["begins"], np.int64), row["n_tokens"]
         self.terms, self.ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int64)
-        self.postings = np.frombuffer(row["postings"], np.uint8)
+        self.places_of, self.postings = np.frombuffer(row["places"], np.int32), np.frombuffer(row["postings"], np.uint8)
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """The place of each term, or -1."""
@@ -141,52 +145,96 @@ def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
         total = np.zeros(len(terms), np.int64)
         for b in batches:
             for row in b.to_pylist():
-                own, ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int64)
+                own, places = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["places"], np.int32)
                 at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-                # bytes of postings stand for places: they grow alike, and need no unpacking
-                size = np.diff(ends, prepend=0)[at]
-                total += np.where(own[at] == terms, size, 0)
+                total += np.where(own[at] == terms, places[at], 0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["term", "n"])
 
     out = np.zeros(len(terms), np.int64)
-    for r in index.select("terms", "ends").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in index.select("terms", "places").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["term"]] = r["n"]
     return out
 
 
-def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: int = 8, anchors: int = 24, agree: float = 0.6, least: int = 6, slop: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: int = 8, anchors: int = 24, stretch: int = 32, agree: float = 0.6, least: int = 6, slop: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """A row for each document and item that match, of kind ``exact`` (``matched``: runs of ``phrase`` tokens found, with the place of the first) and of kind ``near`` (``matched``: anchors that agree)."""
     test = benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col)).where(F.col(text_col).isNotNull()).distinct().orderBy(item_col, text_col)
-    spark, out = index.sparkSession, None
-    rounds, batch = [], []
-    for r in test.toLocalIterator():
-        batch.append((r[0], r[1]))
-        if len(batch) == ROUND_ITEMS:
-            rounds.append(batch)
-            batch = []
-    for rows in [*rounds, batch]:
-        items = _items(rows, phrase, shortest)
-        if items:
-            found = _match_round(spark, index, items, phrase, anchors, agree, least, slop)
+    spark, out, ws = index.sparkSession, None, Workspace(index.sparkSession, "matches")
+    rows = ((r[0], r[1]) for r in test.toLocalIterator())
+    k = 0
+    while batch := list(itertools.islice(rows, ROUND_ITEMS)):
+        if items := _items(batch, phrase, shortest):
+            found = ws.stash(_match_round(spark, index, items, phrase, anchors, stretch, agree, least, slop), f"round-{k}")
             out = found if out is None else out.unionByName(found)
+        k += 1
     return spark.createDataFrame([], MATCH) if out is None else out
 
 
-def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, anchors: int, agree: float, least: int, slop: int) -> DataFrame:
+class Parts:
+    """Items and stretches of items, their anchors side by side: anchor i is ``term[i]``, ``offset[i]`` tokens from its item's start, and belongs to part ``of[i]``."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray, int]]):
+        none = [np.zeros(0, np.int32)]
+        self.item, self.needed = np.array([p[0] for p in parts], np.int64), np.array([p[3] for p in parts], np.int64)
+        self.offset, self.term = np.concatenate([p[1] for p in parts] or none), np.concatenate([p[2] for p in parts] or none)
+        self.of = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+
+    def find(self, s: Shard, at: np.ndarray, places, slop: int) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, anchors that agree, the first one's place in the document); ``at``: the shard's place of each term, or -1."""
+        here = at[self.term] >= 0
+        here &= (np.bincount(self.of[here], minlength=len(self.item)) >= self.needed)[self.of]  # parts of which enough is in the shard
+        anchor = np.flatnonzero(here)
+        step = max(1, GATHERED // (1 + int(s.places_of[at[self.term[anchor]]].mean()))) if len(anchor) else 1
+        for lo, hi in self._whole_parts(anchor, step):
+            own = anchor[lo:hi]
+            own_places = [places(t) for t in self.term[own]]
+            size = np.array([len(p) for p in own_places])
+            place, which = np.concatenate(own_places), np.repeat(own, size)
+            doc, part = s.doc(place), self.of[which]
+            # of each part, the documents that hold enough of its anchors
+            pair = part * np.int64(len(s.ids)) + doc
+            _, inverse = np.unique(pair, return_inverse=True)
+            distinct = np.unique(inverse.astype(np.int64) << np.int64(32) | which)
+            enough = np.bincount(distinct >> np.int64(32))[inverse] >= self.needed[part]
+            place, which, doc, part, group = place[enough], which[enough], doc[enough], part[enough], inverse[enough]
+            # and there, the windows of places, less the anchors' offsets, that begin at a posting and hold enough
+            step_of = group.astype(np.int64) * np.int64(1 << 40) + (place - self.offset[which] + np.int64(1 << 20))
+            o = np.argsort(step_of, kind="stable")
+            step_of, place, which, doc, part = step_of[o], place[o], which[o], doc[o], part[o]
+            end = np.searchsorted(step_of, step_of + slop, "right")
+            for i in np.flatnonzero(end - np.arange(len(end)) >= self.needed[part]):
+                n = len(np.unique(which[i : end[i]]))
+                if n >= self.needed[part[i]]:
+                    yield int(doc[i]), int(self.item[part[i]]), n, int(place[i : end[i]].min() - s.begins[doc[i]])
+
+    def _whole_parts(self, anchor: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+        """Ranges of about ``step`` anchors that end where a part ends."""
+        lo = 0
+        while lo < len(anchor):
+            hi = min(len(anchor), lo + step)
+            hi = int(np.searchsorted(self.of[anchor], self.of[anchor[hi - 1]], "right"))
+            yield lo, hi
+            lo = hi
+
+
+def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, anchors: int, stretch: int, agree: float, least: int, slop: int) -> DataFrame:
     terms = np.unique(np.concatenate([h for _, h in items]))
     count = term_counts(index, terms)
     runs: dict[bytes, list] = {}
-    near = []
+    near: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     for k, (_, h) in enumerate(items):
         t = np.searchsorted(terms, h)
         n = min(phrase, len(h))
         for o in range(len(h) - n + 1):
             runs.setdefault(t[o : o + n].astype(np.int32).tobytes(), []).append((k, o))
-        rare = np.lexsort((np.arange(len(t)), count[t]))
-        rare = rare[np.sort(np.unique(t[rare], return_index=True)[1])][:anchors]  # distinct terms
-        if len(rare) >= least:
-            near.append((k, rare.astype(np.int32), t[rare].astype(np.int32), max(least, math.ceil(agree * len(rare)))))
+        # the whole item, and each stretch of it by itself
+        parts = {(0, len(t))} | ({(o, min(len(t), o + stretch)) for o in range(0, max(1, len(t) - stretch // 2), stretch // 2)} if len(t) > stretch else set())
+        for lo, hi in sorted(parts):
+            rare = lo + np.lexsort((np.arange(hi - lo), count[t[lo:hi]]))
+            rare = rare[np.sort(np.unique(t[rare], return_index=True)[1])][:anchors]  # distinct terms
+            if len(rare) >= least:
+                near.append((k, rare.astype(np.int32), t[rare].astype(np.int32), max(least, math.ceil(agree * len(rare)))))
     by_size: dict[int, list] = {}
     for key, where in runs.items():
         by_size.setdefault(len(key) // 4, []).append((np.frombuffer(key, np.int32), where))
@@ -194,7 +242,8 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
     for _, own in sorted(by_size.items()):
         m = np.stack([t for t, _ in own])
         plan.append((m, np.argsort(count[m], axis=1, kind="stable"), [w for _, w in own]))
-    shared = spark.sparkContext.broadcast((terms, plan, near, [k for k, _ in items]))
+    flat = Parts(near)
+    shared = spark.sparkContext.broadcast((terms, plan, flat, [k for k, _ in items]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, plan, near, names = shared.value
@@ -229,26 +278,9 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
                                     x = found.setdefault((doc, item, "exact"), [set(), p, off])
                                     x[0].add(off)
                                     x[1:] = min((x[1], x[2]), (p, off))
-                for item, offs, ts, needed in near:
-                    here = np.flatnonzero(at[ts] >= 0)
-                    if len(here) < needed:
-                        continue
-                    pl = [places(ts[j]) for j in here]
-                    diag = np.concatenate([p - offs[j] for p, j in zip(pl, here)])
-                    pos = np.concatenate(pl)
-                    which = np.concatenate([np.full(len(p), j) for p, j in zip(pl, here)])
-                    doc = s.doc(pos)
-                    o = np.lexsort((diag, doc))
-                    diag, doc, which, pos = diag[o], doc[o], which[o], pos[o]
-                    # every window of places that begins at a posting: its end by search, and only those with enough postings
-                    step = doc * np.int64(1 << 40) + diag
-                    end = np.searchsorted(step, step + slop, "right")
-                    for i in np.flatnonzero(end - np.arange(len(end)) >= needed):
-                        n = len(set(which[i : end[i]].tolist()))
-                        if n >= needed:
-                            x = found.setdefault((int(doc[i]), item, "near"), [n, 1 << 40, 0])
-                            p = int(pos[i : end[i]].min() - s.begins[doc[i]])
-                            x[0], x[1] = max(x[0], n), min(x[1], p)
+                for doc, item, n, p in near.find(s, at, places, slop):
+                    x = found.setdefault((doc, item, "near"), [n, p, 0])
+                    x[0], x[1] = max(x[0], n), min(x[1], p)
                 rows = [{"doc_id": s.ids[d], "item_id": names[i], "kind": kind, "matched": len(x[0]) if kind == "exact" else x[0], "doc_position": x[1], "item_position": x[2]} for (d, i, kind), x in found.items()]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("matched", pa.int32()), ("doc_position", pa.int32()), ("item_position", pa.int32())]))
@@ -263,9 +295,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without those that match, known by id and text; documents of null id can't be named and stay."""
+    """docs without those that match, known by id and text (by text alone where the id is null)."""
     ws = Workspace(docs.sparkSession, "leaks")
     own = F.xxhash64(docs["doc_id"], docs["text"])
-    named = docs.where("doc_id is not null").select(own.alias("doc_id"), "text")
-    bad = small(ws.stash(find_leaks(named, benchmark, **options).select(F.col("doc_id").alias("bad_row")).distinct(), "bad"))
-    return docs.join(bad, docs["doc_id"].isNotNull() & (own == bad["bad_row"]), "left_anti")
+    bad = small(ws.stash(find_leaks(docs.select(own.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("bad_row")).distinct(), "bad"))
+    return docs.join(bad, own == bad["bad_row"], "left_anti")
