@@ -1,28 +1,78 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tests.llm.helpers import clashing, hard, long_text, rows, table, words
 from textmill.llm import pii
 
 
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("write to jane.doe+x@mail.example.org today", "write to [EMAIL] today"),
-        ("call +1 415-555-0132 or (415) 555-0199 now", "call [PHONE] or [PHONE] now"),
-        ("api_key = sk-abcdefghijklmnopqrstuv123", "[SECRET]"),
-        ("host 192.168.10.254 answers", "host [IP] answers"),
-        ("ssn 123-45-6789 ok", "ssn [SSN] ok"),
-        ("card 4111 1111 1111 1111 ok", "card [ACCOUNT] ok"),
-        ("version 1.2.3 of 2024-05-17 costs 1,000.50", "version 1.2.3 of 2024-05-17 costs 1,000.50"),
-        ("no at sign here", "no at sign here"),
-    ],
-)
-def test_patterns(spark, text, want):
-    assert pii.sanitise(table(spark, [(1, text)])).first()["text"] == want
+CASES = [
+    ("write to jane.doe+x@mail.example.org today", "write to [EMAIL] today"),
+    ("call +1 415-555-0132 or (415) 555-0199 now", "call [PHONE] or [PHONE] now"),
+    ("api_key = sk-abcdefghijklmnopqrstuv123", "[SECRET]"),
+    ("host 192.168.10.254 answers", "host [IP] answers"),
+    ("ssn 123-45-6789 ok", "ssn [SSN] ok"),
+    ("card 4111 1111 1111 1111 ok", "card [ACCOUNT] ok"),
+    ("password=" + "x" * 700 + " sk-" + "a1" * 200 + " " + "0af" * 80, "[SECRET] [SECRET] [SECRET]"),
+    ("m" * 90 + "@mail.example.org", "[EMAIL]"),
+    ("call +44 20 7946 0958 or +49 (0)30 901820", "call [PHONE] or [PHONE]"),
+    ("from 2001:db8::8a2e:370:7334 to fe80::1 or 1:2:3:4:5:6:7:8", "from [IP] to [IP] or [IP]"),
+    ("std::vector and a::b at 12:30:45", "std::vector and a::b at 12:30:45"),
+    ("card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 and ٤١١١١١١١١١١١١١١١", "card [ACCOUNT] and [ACCOUNT]"),
+    ("version 1.2.3 of 2024-05-17 costs 1,000.50", "version 1.2.3 of 2024-05-17 costs 1,000.50"),
+    ("no at sign here", "no at sign here"),
+]
+
+
+def test_patterns(spark):
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(table(spark, [(k, t) for k, (t, _) in enumerate(CASES)])).collect()}
+    assert [got[k] for k in range(len(CASES))] == [want for _, want in CASES]
+
+
+PARTS = ["token", "API_KEY", "password", "=", ":", " ", "\u2003", "\x1f", "a", "b9", "@", ".", "-", "+", "(", ")", "::", "1", "23", "456", "7890", "٤", "Ⅷ", "ſk-", "\u212a", "İ", "ı", "é", "中", "AKIA", "ghp_", "0123456789abcdef", "de44", "\n", '"', "apı_key"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=60), st.integers(1, 40))
+@settings(max_examples=400, deadline=None)
+def test_the_screen_misses_no_match(parts, times):
+    text = "".join(parts) + parts[-1] * times if parts else ""
+    look, worth = pii.finder(pii.PATTERNS), pii.screen(pii.PATTERNS)
+    if look.search(text) or look.search(text.lower()):
+        assert worth(pa.array([text, None], pa.string())).to_pylist() == [True, False]
+
+
+@pytest.mark.parametrize("name,part", [("SECRET", "password=" + "x" * 9), ("SECRET", "0af" * 11), ("EMAIL", "ab.c@d.ef"), ("IP", "1.2.3.4"), ("IP", "fe80::1"), ("PHONE", "+1 415 555 0132"), ("SSN", "123-45-6789"), ("IBAN", "de44 5001 0517 5407 3249 31"), ("ACCOUNT", "4111 1111 1111 1111")])
+def test_the_screen_lets_each_kind_through(name, part):
+    text = f"words {part} words"
+    assert pii.finder({name: pii.PATTERNS[name]}).search(text) and pii.screen({name: pii.PATTERNS[name]})(pa.array([text, "no such words"])).to_pylist() == [True, False]
+
+
+def test_patterns_that_the_screen_can_t_read(spark):
+    got = pii.sanitise(table(spark, [(1, "say hoho and haha"), (2, "say it")]), patterns={"TWICE": r"\b(?P<twin>\w\w)(?=(?P=twin))\w\w\b"})
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == ["say [TWICE] and [TWICE]", "say it"]
+
+
+def test_rewriting_against_brute_force():
+    look = pii.finder(pii.PATTERNS)
+    for seed in range(40):
+        r = random.Random(seed)
+        parts = [r.choice(["alpha", "Beta", "gamma7", "42", "x@y.org", "10.0.0.1", "中文", "-", "  "]) for _ in range(30)]
+        actions = {"alpha": "remove", "beta": "generalise", "42": "generalise", "中": "remove"}
+        text, want, counts = " ".join(parts), [], [0, 0, 0]
+        for p in parts:
+            kind = {"x@y.org": "[EMAIL]", "10.0.0.1": "[IP]"}.get(p)
+            out = kind or {"alpha": "", "Beta": "[TERM]", "42": "[NUMBER]", "中文": "文"}.get(p, p)
+            counts[0] += kind is not None
+            counts[1] += out in ("[TERM]", "[NUMBER]")
+            counts[2] += p in ("alpha", "中文")
+            want.append(out)
+        assert pii.rewrite(text, look, actions) == ((" ".join(want), *counts) if counts[0] else (text, 0, 0, 0))
 
 
 def brute(texts, window, generalise, remove, support):

@@ -10,53 +10,95 @@ aren't occurrences of a term. An estimate from ``support`` distinct contexts in
 taken at the lower end of its confidence interval (Wilson's, ``doubt`` standard deviations down), with equal contexts counted once: a term that stands nowhere but in
 k contexts of e is believed to do so with probability k / (k + 1), for a doubt of 1. So entities named once are judged as well, and copies of one passage count as one. Counts are over all documents.
 
+Python's patterns only read the texts that a relaxed form of them, compiled by RE2 (``screen``), lets through: every text with a match, and few more.
 Only mentions, their neighbours and counts are shuffled, and the texts of those documents that mention anything.
 
 Defined results: a null text stays null, an empty one empty. A text without a mention is returned as it was, byte for byte. Repeated rows
-are sanitised alike. Null ids don't matter. ``n_chars``, if there is one, counts the new text; all other columns stay as they are,
+are sanitised alike. Null ids don't matter. Of mentions that begin at one place the first kind counts; terms of equal scores are treated alike. ``n_chars``, if there is one, counts the new text; all other columns stay as they are,
 but for those named like a column of the report, which takes their place.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from textmill.llm.common import Workspace, mix, strings, tokens_in, unused
 
-#: Kinds of entities and their patterns; the first that matches at a place wins. All ignore case, and none can match without a bound.
+#: Kinds of entities and their patterns; the first that matches at a place wins. All ignore case. None is limited in length where what it finds isn't,
+#: and those that aren't begin where a run of their characters begins and never give one back, so that a long run is read once.
 PATTERNS = {
-    "SECRET": r"\b(?:(?:access[_-]?|auth[_-]?)?token|api[_-]?key|secret(?:[_-]?key)?|password|passwd|pwd)\b\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,512}[\"']?|\bakia[0-9a-z]{16}\b|\bsk-[0-9a-z_-]{20,200}\b|\bgh[pousr]_[0-9a-z]{30,200}\b|\b[0-9a-f]{32,128}\b",
-    "EMAIL": r"[^\s@<>()\[\]\"',;:|=]{1,64}@[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8}",
-    "IP": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d])",
-    "PHONE": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{3,4}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
+    "SECRET": r"\b(?:(?:access[_-]?|auth[_-]?)?token|api[_-]?key|secret(?:[_-]?key)?|password|passwd|pwd)\b\s*+[=:]\s*+[\"']?[^\s\"']{6,}+[\"']?|\bakia[0-9a-z]{16}\b|\bsk-[0-9a-z_-]{20,}+|\bgh[pousr]_[0-9a-z]{30,}+|(?<![0-9a-z])[0-9a-f]{32,}+(?![0-9a-z])",
+    "EMAIL": r"(?<![^\s@<>()\[\]\"',;:|=])[^\s@<>()\[\]\"',;:|=]++@[a-z0-9-]++(?:\.[a-z0-9-]++)++",
+    "IP": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d])|(?<![\w:.])(?=[0-9a-f:]*\d)(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:])",
+    "PHONE": r"(?<![\w+])\+\d(?:[ .()/-]{0,2}\d){7,14}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "IBAN": r"\b[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?\b(?<=\d)",
     "ACCOUNT": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
-#: What a text holds if any pattern matches it, for the JVM to look for first.
-MAYBE = r"@|[0-9]{6}|[0-9][0-9][ -][0-9]|[0-9]\.[0-9]|[0-9]\)[ .-]?[0-9]|[0-9]-[0-9]|(?i:token|key|secret|password|passwd|pwd|akia|sk-|gh[pousr]_|[0-9a-f]{32})"
 _WORD = re.compile(r"[　-\udfff]|(?:[0-9A-Za-z]|[^\x00-\x7f　-\udfff])+")
 
 
+_LOOK_AROUND = re.compile(r"\(\?<?[=!](?:\[(?:\\.|[^\]\\])*\]|\\.|[^()\\\[])*\)")
+_SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def relaxed(pattern: str) -> str:
+    """A pattern of RE2, which runs in time linear in the text, that matches wherever the given one does, and more: without what it asks of the characters around, and giving back what it took."""
+    pattern = re.sub(r"([+*?}])\+", r"\1", _LOOK_AROUND.sub("", pattern).replace(r"\b", ""))
+    out, i, within = [], 0, ""
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two[0] == "\\":
+            # digits and spaces beyond ASCII; a class of all but ASCII spaces holds more than one of all but spaces
+            out.append(r"\p{Nd}" if two == r"\d" else two if two != r"\s" or within == "[^" else _SPACE if within else f"[{_SPACE}]")
+            i += 2
+            continue
+        if two[0] == "[" and not within:
+            within = "[^" if two == "[^" else "["
+        elif two[0] == "]":
+            within = ""
+        out.append(two[0])
+        i += 1
+    return "".join(out)
+
+
+def screen(patterns: dict[str, str]) -> Callable[[pa.Array], pa.Array]:
+    """A quick test of a column: true for every text in which a pattern matches, and for few others; null texts are false."""
+    either = "|".join(f"(?:{relaxed(p)})" for p in patterns.values())
+    try:
+        pc.match_substring_regex(pa.array([""], pa.large_string()), either, ignore_case=True)
+    except pa.ArrowInvalid:  # not a pattern of RE2: all texts are looked at
+        return lambda column: pc.is_valid(column)
+
+    def test(column: pa.Array) -> pa.Array:
+        for dotted in "İı":  # these agree with i in Python's patterns, not in RE2's
+            if pc.any(pc.match_substring(column, dotted)).as_py():
+                column = pc.replace_substring(column, dotted, "i")
+        return pc.fill_null(pc.match_substring_regex(column, either, ignore_case=True), False)
+
+    return test
+
+
 def finder(patterns: dict[str, str]) -> re.Pattern:
     return re.compile("|".join(f"(?P<{k}>{p})" for k, p in patterns.items()), re.IGNORECASE)
 
 
 def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFrame:
     """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``; with a term, n is 0 if that token was near the entity already; entity is null for the tokens of mentions themselves."""
-    look = finder(patterns)
+    look, worth = finder(patterns), screen(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("uid", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("context", pa.int64()), ("n", pa.int32())])
         for b in batches:
+            b = b.filter(worth(b.column(1)))
             uids = b.column(0).to_pylist()
             for lo, hi, t in tokens_in(b.column(1)):
                 rows = []
@@ -189,10 +231,16 @@ _RESULT = StructType([StructField("text", StringType()), StructField("entities",
 def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: int = 8, generalise: float = 0.9, remove: float = 0.97, support: int = 3, doubt: float = 1.645, report: bool = True) -> DataFrame:
     """All documents with sanitised texts; with ``report``, also how many entities were replaced and terms generalised and removed."""
     patterns = patterns or PATTERNS
-    maybe = F.col("text").rlike(MAYBE) if patterns is PATTERNS else F.col("text").isNotNull()
+    worth = screen(patterns)
+
+    @F.arrow_udf(BooleanType())
+    def screened(text: pa.Array) -> pa.Array:
+        return worth(text)
+
+    maybe = screened(F.col("text").cast("string"))
     uid = F.xxhash64("doc_id", "text")
     ws = Workspace(docs.sparkSession, "pii")
-    found = ws.stash(mentions(docs.where(maybe).select(uid.alias("uid"), F.col("text").cast("string")), patterns, window), "mentions", compression="zstd")
+    found = ws.stash(mentions(docs.select(uid.alias("uid"), F.col("text").cast("string")), patterns, window), "mentions", compression="zstd")
     bad = ws.stash(disclosures(docs.select("text"), found, ws, generalise, remove, support, doubt), "disclosures", compression="zstd")
     # terms that stand nowhere but near the entity are joined where they stand; a join of all texts of an entity with all its terms would grow with their product
     everywhere = found.where("entity is not null").select("uid", "entity").distinct().join(bad.where("not near_only").drop("near_only"), "entity", "left")
@@ -215,4 +263,4 @@ def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: in
     marked = docs.where(maybe).withColumn(uids, uid).join(by_row.select(F.col("uid").alias(uids), F.col("actions").alias(actions)), uids, "left").withColumn(fresh, cleaned("text", actions))
     new = {"text": F.col(f"{fresh}.text")} | ({"n_chars": F.when(F.col(f"{fresh}.entities") > 0, F.char_length(f"{fresh}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
     changed = marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names], *[F.col(f"{fresh}.{c}") for c in counts])
-    return docs.where(~F.coalesce(maybe, F.lit(False))).select("*", *[F.lit(0).alias(c) for c in counts]).union(changed)
+    return docs.where(~maybe).select("*", *[F.lit(0).alias(c) for c in counts]).union(changed)
