@@ -172,49 +172,50 @@ def match(index: DataFrame, benchmark: DataFrame, phrase: int = 13, shortest: in
 
 
 class Parts:
-    """Items and stretches of items, their anchors side by side: anchor i is ``term[i]``, ``offset[i]`` tokens from its item's start, and belongs to part ``of[i]``."""
+    """Items and stretches of items, their anchors side by side, the rarest of each first: anchor i is ``term[i]``, ``offset[i]`` tokens from its item's start, and belongs to part ``of[i]``."""
 
     def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray, int]]):
-        none = [np.zeros(0, np.int32)]
+        none, size = [np.zeros(0, np.int32)], np.array([len(p[1]) for p in parts], np.int64)
         self.item, self.needed = np.array([p[0] for p in parts], np.int64), np.array([p[3] for p in parts], np.int64)
         self.offset, self.term = np.concatenate([p[1] for p in parts] or none), np.concatenate([p[2] for p in parts] or none)
-        self.of = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        self.of = np.repeat(np.arange(len(parts)), size)
+        # who has ``needed`` of all has so many of the rarer three quarters; the common ones, with most of the postings, are looked up for them only
+        rarer = -(-size * 3 // 4)
+        self.first_needed = np.maximum(1, self.needed - (size - rarer))
+        self.rarer = np.arange(len(self.of)) - np.repeat(np.cumsum(size) - size, size) < rarer[self.of]
 
     def find(self, s: Shard, at: np.ndarray, places, slop: int) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, anchors that agree, the first one's place in the document); ``at``: the shard's place of each term, or -1."""
         here = at[self.term] >= 0
         here &= (np.bincount(self.of[here], minlength=len(self.item)) >= self.needed)[self.of]  # parts of which enough is in the shard
-        anchor = np.flatnonzero(here)
-        step = max(1, GATHERED // (1 + int(s.places_of[at[self.term[anchor]]].mean()))) if len(anchor) else 1
-        for lo, hi in self._whole_parts(anchor, step):
-            own = anchor[lo:hi]
-            own_places = [places(t) for t in self.term[own]]
-            size = np.array([len(p) for p in own_places])
-            place, which = np.concatenate(own_places), np.repeat(own, size)
-            doc, part = s.doc(place), self.of[which]
-            # of each part, the documents that hold enough of its anchors
-            pair = part * np.int64(len(s.ids)) + doc
-            _, inverse = np.unique(pair, return_inverse=True)
-            distinct = np.unique(inverse.astype(np.int64) << np.int64(32) | which)
-            enough = np.bincount(distinct >> np.int64(32))[inverse] >= self.needed[part]
-            place, which, doc, part, group = place[enough], which[enough], doc[enough], part[enough], inverse[enough]
-            # and there, the windows of places, less the anchors' offsets, that begin at a posting and hold enough
-            step_of = group.astype(np.int64) * np.int64(1 << 40) + (place - self.offset[which] + np.int64(1 << 20))
-            o = np.argsort(step_of, kind="stable")
-            step_of, place, which, doc, part = step_of[o], place[o], which[o], doc[o], part[o]
-            end = np.searchsorted(step_of, step_of + slop, "right")
+        left = np.zeros(len(self.item), bool)
+        for part, *_ in self._gather(np.flatnonzero(here & self.rarer), self.first_needed, s, places):
+            left[part] = True
+        for part, place, which, doc, group in self._gather(np.flatnonzero(here & left[self.of]), self.needed, s, places):
+            # windows of places, less the anchors' offsets, that begin at a posting and hold enough
+            step = group.astype(np.int64) * np.int64(1 << 40) + (place - self.offset[which] + np.int64(1 << 20))
+            o = np.argsort(step, kind="stable")
+            step, place, which, doc, part = step[o], place[o], which[o], doc[o], part[o]
+            end = np.searchsorted(step, step + slop, "right")
             for i in np.flatnonzero(end - np.arange(len(end)) >= self.needed[part]):
                 n = len(np.unique(which[i : end[i]]))
                 if n >= self.needed[part[i]]:
                     yield int(doc[i]), int(self.item[part[i]]), n, int(place[i : end[i]].min() - s.begins[doc[i]])
 
-    def _whole_parts(self, anchor: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
-        """Ranges of about ``step`` anchors that end where a part ends."""
-        lo = 0
+    def _gather(self, anchor: np.ndarray, needed: np.ndarray, s: Shard, places) -> Iterator[tuple[np.ndarray, ...]]:
+        """(part, place, anchor, document, a number for part and document) of the postings of some anchors, whole parts at a time, where a document holds as many of a part's anchors as needed."""
+        lo, of = 0, self.of[anchor]
         while lo < len(anchor):
-            hi = min(len(anchor), lo + step)
-            hi = int(np.searchsorted(self.of[anchor], self.of[anchor[hi - 1]], "right"))
-            yield lo, hi
+            n, hi, own_places = 0, lo, []
+            while hi < len(anchor) and (n < GATHERED or of[hi] == of[hi - 1]):
+                own_places.append(places(self.term[anchor[hi]]))
+                n, hi = n + len(own_places[-1]), hi + 1
+            place, which = np.concatenate(own_places), np.repeat(anchor[lo:hi], [len(p) for p in own_places])
+            doc, part = s.doc(place), self.of[which]
+            _, group = np.unique(part * np.int64(len(s.ids)) + doc, return_inverse=True)
+            distinct = np.unique(group.astype(np.int64) << np.int64(32) | which)
+            enough = np.bincount(distinct >> np.int64(32))[group] >= needed[part] if len(group) else np.zeros(0, bool)
+            yield part[enough], place[enough], which[enough], doc[enough], group[enough]
             lo = hi
 
 
