@@ -1,4 +1,7 @@
+import gzip
 import io
+import itertools
+import json
 import zipfile
 
 import pytest
@@ -28,8 +31,6 @@ def test_another_reader_agrees(spark):
     folder = Workspace(spark, "warc-test").path
     pages = spark.createDataFrame(HARD, PAGES).coalesce(1)
     (p,) = warc.write_packages(pages, folder, archive_mb=0).collect()
-    import gzip
-
     with zipfile.ZipFile(p["path"].removeprefix("file://")) as z:
         assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
         names = [n for n in z.namelist() if n.startswith("archive/")]
@@ -60,6 +61,25 @@ def test_packages_of_another_writer(spark, tmp_path):
     assert rows(warc.read_records(warc.locate(packages)).select("page_id", "html")) == sorted(((k, f"<p>{k}</p>") for k in range(20)), key=str)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_compressed_indexes_of_several_members_gaps_and_plain_archives(spark, tmp_path, plain):
+    records = [warc.record(k, f"http://x/{k}", f"<p>{k}</p>" * (k + 1)) for k in range(30)]
+    records = [gzip.decompress(r) for r in records] if plain else records
+    ends = list(itertools.accumulate(len(r) for r in records))
+    name = f"data.warc{'' if plain else '.gz'}"
+    lines = [f"x,{k})/ 20240101000000 " + json.dumps({"filename": name, "offset": ends[k] - len(records[k]), "length": len(records[k])}) + "\n" for k in range(30) if k % 7 not in (0, 3, 4)]
+    members = b"".join(gzip.compress("".join(lines[k : k + 4]).encode()) for k in range(0, len(lines), 4))
+    with zipfile.ZipFile(tmp_path / "other.wacz", "w", zipfile.ZIP_STORED) as z:
+        z.writestr(f"archive/{name}", b"".join(records))
+        z.writestr("indexes/index.cdx.gz", members)
+        z.writestr("indexes/again.cdxj", "".join(lines[:5]))
+        z.writestr(f"elsewhere/{name}", b"".join(records[:2]))
+    places = warc.locate(spark.createDataFrame([(str(tmp_path / "other.wacz"),)], "path string"))
+    assert places.where("indexed").count() == len(lines)
+    want = [(k, f"<p>{k}</p>" * (k + 1)) for k in [*range(30), 0, 1]]
+    assert rows(warc.read_records(places).select("page_id", "html")) == sorted(want, key=str)
+
+
 def test_damage_is_an_error(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "packed.wacz", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("archive/data.warc.gz", b"x" * 1000)

@@ -4,7 +4,8 @@ A package is a ZIP file whose members are stored, not deflated: ``archive/*.warc
 ``indexes/*.cdxj`` with a line to a record: its key, time, and as JSON the archive member's name, the record's place in it and its length. A package
 is opened from its end: the end record, the ZIP64 end record where a number doesn't fit, and
 the central directory give every member's place; the local header in front of a member gives where its bytes begin.
-Records are then read by range, near ones in one read, and nothing is extracted. Archives that no index names are walked from gzip member to gzip member.
+Records are then read by range, near ones in one read, and nothing is extracted. What no index covers, be it a whole archive or a gap in one, is walked record by record.
+Archives and indexes are known by their names' ends, ``.warc.gz`` or ``.warc`` and ``.cdxj`` or ``.cdx`` (of any number of gzip members, with ``.gz``), wherever they lie.
 
 Packages are read and written through ``pyarrow.fs``, so local and object stores do alike. Written files have names of their own for each attempt,
 and only those of finished tasks are listed, so a lost executor leaves no half package in the list.
@@ -17,6 +18,7 @@ that names the package. An empty table makes one package without records. Rows t
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Records nearer to each other than this are read at once, up to RANGE bytes.
 GAP, RANGE = 1 << 16, 4 << 20
+#: Bytes of records to a task that reads them.
+TASK = 64 << 20
 
 
 def _open(uri: str):
@@ -219,7 +223,7 @@ def write_packages(pages: DataFrame, folder: str, archive_mb: int = 16, package_
 
 
 def locate(packages: DataFrame) -> DataFrame:
-    """(path, member, place, length) of every record: from the indexes, or for archives that none names, of whole archives (``indexed`` is false), to be walked."""
+    """(path, member, place, length) of every record that an index names, and of what no index covers (``indexed`` is false), to be walked: gaps of archives, or whole ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("member", pa.string()), ("place", pa.int64()), ("length", pa.int64()), ("indexed", pa.bool_())])
@@ -230,21 +234,35 @@ def locate(packages: DataFrame) -> DataFrame:
                     try:
                         members = directory(f, f.size())
                         places, rows, named = {}, [], set()
+                        archives = set()
                         for m in members:
-                            if m.name.endswith((".warc.gz", ".warc")) or m.name.startswith("indexes/"):
+                            archive, index = m.name.endswith((".warc.gz", ".warc")), m.name.removesuffix(".gz").endswith((".cdxj", ".cdx"))
+                            if archive or index:
                                 if m.method:
                                     raise ValueError(f"{m.name} is packed by method {m.method}, not stored")
                                 places[m.name] = (data_place(f, m), m.size)
+                            if archive:
+                                archives.add(m.name)
                         for m in members:
-                            if m.name.startswith("indexes/") and m.name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+                            if m.name in places and m.name not in archives:
                                 raw = read_at(f, *places[m.name])
-                                for line in (zlib.decompress(raw, 47) if m.name.endswith(".gz") else raw).decode("utf-8", "surrogatepass").split("\n"):
+                                for line in (gunzip(raw) if m.name.endswith(".gz") else raw).decode("utf-8", "surrogatepass").split("\n"):
                                     if line[line.find("{") :].startswith("{"):
                                         x = json.loads(line[line.find(" {") + 1 :])
-                                        own = f"archive/{x['filename']}"
-                                        named.add(own)
-                                        rows.append((path, own, places[own][0] + int(x["offset"]), int(x["length"]), True))
-                        rows += [(path, n, p, s, False) for n, (p, s) in places.items() if n.startswith("archive/") and n not in named]
+                                        own = next((n for n in (f"archive/{x['filename']}", x["filename"]) if n in archives), None)
+                                        if own is None:
+                                            raise ValueError(f"{m.name} names {x['filename']}, which isn't there")
+                                        if int(x["offset"]) + int(x["length"]) > places[own][1]:
+                                            raise ValueError(f"{m.name} names a record beyond the end of {own}")
+                                        named.add((own, int(x["offset"]), int(x["length"])))
+                        covered = dict.fromkeys(archives, 0)
+                        for own, offset, length in sorted(named):
+                            start = places[own][0]
+                            if offset > covered[own]:
+                                rows.append((path, own, start + covered[own], offset - covered[own], False))
+                            covered[own] = max(covered[own], offset + length)
+                            rows.append((path, own, start + offset, length, True))
+                        rows += [(path, n, places[n][0] + c, places[n][1] - c, False) for n, c in sorted(covered.items()) if c < places[n][1]]
                     except (ValueError, KeyError, struct.error) as e:
                         raise ValueError(f"{path}: {e}") from e
                 for i in range(0, len(rows), 10_000):
@@ -253,8 +271,47 @@ def locate(packages: DataFrame) -> DataFrame:
     return packages.select("path").mapInArrow(run, "path string, member string, place bigint, length bigint, indexed boolean")
 
 
+def gunzip(raw: bytes) -> bytes:
+    """All members of a gzip file."""
+    out = []
+    while raw:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(raw))
+        if not z.eof:
+            raise ValueError("a gzip member is cut off")
+        raw = z.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def _walk_plain(f, place: int, length: int) -> Iterator[bytes]:
+    """The records of an archive that isn't compressed."""
+    end, held = place + length, b""
+
+    def more() -> bool:
+        nonlocal held, place
+        n = min(RANGE, end - place)
+        held, place = held + (read_at(f, place, n) if n else b""), place + n
+        return n > 0
+
+    while True:
+        held = held.lstrip(b"\r\n")
+        while (cut := held.find(b"\r\n\r\n")) < 0 and more():
+            held = held.lstrip(b"\r\n")
+        if not held:
+            return
+        found = re.search(rb"(?im)^content-length:[ \t]*(\d+)", held[: max(cut, 0)])
+        if found is None:
+            raise ValueError("a record without a length")
+        size = cut + 4 + int(found[1])
+        while len(held) < size:
+            if not more():
+                raise ValueError("an archive ends within a record")
+        yield held[:size]
+        held = held[size:]
+
+
 def _walk(f, place: int, length: int) -> Iterator[bytes]:
-    """The records of an archive from its first byte on, a window at a time."""
+    """The records from a place on, a window at a time."""
     end, held = place + length, b""
     while place < end or held:
         z, out, left = zlib.decompressobj(31), [], held
@@ -291,7 +348,7 @@ def read_records(places: DataFrame) -> DataFrame:
                 f = files[path]
                 try:
                     if not indexed:
-                        raws, j = _walk(f, place, length), i + 1
+                        raws, j = (_walk if member.endswith(".gz") else _walk_plain)(f, place, length), i + 1
                         raws = ((x, member) for x in raws)
                     else:
                         j, end = i + 1, place + length
@@ -299,7 +356,7 @@ def read_records(places: DataFrame) -> DataFrame:
                             end = max(end, rows[j][2] + rows[j][3])
                             j += 1
                         window = read_at(f, place, end - place)
-                        raws = ((zlib.decompress(window[p - place : p - place + n], 31), m) for _, m, p, n, _ in rows[i:j])
+                        raws = ((x if (x := window[p - place : p - place + n])[:2] != b"\x1f\x8b" else zlib.decompress(x, 31), m) for _, m, p, n, _ in rows[i:j])
                     for raw, m in raws:
                         out.append((*parse(raw), path, m))
                         held += len(raw)
@@ -314,14 +371,17 @@ def read_records(places: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), kind)], schema=kind)
 
-    spread = F.floor(F.col("place") / F.lit(RANGE * 4))
-    return places.select("path", "member", "place", "length", "indexed").repartition("path", spread).sortWithinPartitions("path", "place").mapInArrow(run, "page_id bigint, url string, html string, status int, path string, member string")
+    # numbered partitions, as many as the records' bytes ask for, whatever the places themselves take
+    n = max(places.sparkSession.sparkContext.defaultParallelism, -(-int(places.agg(F.sum("length")).first()[0] or 0) // TASK))
+    spread = F.floor(F.col("place") / F.lit(RANGE))
+    return places.select("path", "member", "place", "length", "indexed").repartition(n, "path", spread).sortWithinPartitions("path", "place").mapInArrow(run, "page_id bigint, url string, html string, status int, path string, member string")
 
 
 def round_trip(pages: DataFrame, ws) -> DataFrame:
     """Pages, archived into packages in the shared folder and read from there."""
     packages = ws.stash(write_packages(pages, f"{ws.path}/packages"), "list")
-    return read_records(locate(packages.repartition(F.col("path")))).select("page_id", "url", "html", "status")
+    places = ws.stash(locate(packages.repartition(F.col("path"))), "places", compression="zstd")
+    return read_records(places).select("page_id", "url", "html", "status")
 
 
 SQL = "SELECT page_id, url, coalesce(html, '') AS html, 200::INTEGER AS status FROM pages"
