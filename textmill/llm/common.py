@@ -61,6 +61,13 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def filesystem(uri: str):
+    """The pyarrow file system of a path or URI, and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most ``limit`` rows, else as it is, to be joined by a shuffle. df should be cheap to count."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -1,19 +1,21 @@
 """Quality by n-gram perplexity, under a modified Kneser-Ney model of each language's characters.
 
 Texts are read as symbols: lower-case characters, every digit as 0, every run of white space as one space, with spaces
-before the first. Spark counts the runs of ``ORDER`` symbols over all documents of each language; the counts of
+before the first. Spark counts the runs of ``ORDER`` symbols over all documents of each language and fold, and from them, by joins, all of the model; nothing of it passes through the driver. The counts of
 shorter runs are continuation counts, each run counting once for every symbol that it follows. Discounts for
-counts of one, two, and three or more come from the counts of counts. The model is a sorted array of 64-bit hashes for each length
+counts of one, two, and three or more come from the counts of counts. A document is of one of two folds, by its text, and is scored by the model
+of the other one, so that neither it nor its copies vouch for it. The model is a table; a worker reads the part that it needs into a sorted array of 64-bit hashes for each length
 with the interpolated probabilities, and one with the weights that a context gives to the shorter one.
-What goes to every task is the model of some languages, of ``ROUND_RUNS`` runs in all or of one language, and only their documents are scored with it;
-then those of the next. A language's distinct runs of five characters become few compared with its text as that grows. Runs that occur fewer than ``least`` times (1: none) can be left out.
+That part is of some languages, of ``ROUND_RUNS`` runs in all, and only their documents are scored with it; then those of the next. The model of a language that has more is
+read in slices by the symbol before the last one, which all runs that end with a symbol have in common: each pass scores the symbols of its slice, and the passes add up to
+the same result. Runs that occur fewer than ``least`` times (1: none) can be left out.
 
 A language's band is the median of its documents' log-perplexities, less ``below`` and plus ``above`` times their median deviation
 from it (times 1.4826, the ratio of standard to median deviation of a normal distribution). What lies outside is rejected.
 A mean over few symbols varies more, so for n symbols, n under ``typical``, both bounds are sqrt(typical / n) times as far off.
 
 Defined results: texts of fewer than ``shortest`` symbols (null and empty ones have none) say too little to be judged; they are kept, with their perplexity,
-which is null if there are no symbols. Documents of null language have a model and band of their own. Repeated rows get
+which is null if there are no symbols. Documents of null language have a model and band of their own. Where the other fold has no text of the language, all symbols are equally probable. Repeated rows get
 a result each. Ids may be null.
 """
 
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Workspace, mix, pieces, strings
+from textmill.llm.common import Workspace, filesystem, mix, pieces, strings
 
 ORDER = 5
 _BITS = 12
@@ -77,77 +80,100 @@ def key(g: np.ndarray, lang: int | np.ndarray, order: int) -> np.ndarray:
     return mix(g * np.uint64(2 * ORDER + 1) + np.uint64(order) + np.asarray(lang, np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def fold() -> Column:
+    """Documents are of one of two folds, by text, and each is scored by the model of the other."""
+    return F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
+
+
+RUNS = "lang string, fold int, run bigint, n bigint"
+
+
 def count_runs(docs: DataFrame) -> DataFrame:
-    """(lang, run, n) over all documents."""
+    """(lang, fold, run, n) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
 
-        def add(lang: str, values: np.ndarray, times: np.ndarray) -> None:
-            parts = kept.setdefault(lang, [])
+        def add(of: tuple[str, int], values: np.ndarray, times: np.ndarray) -> None:
+            parts = kept.setdefault(of, [])
             parts.append((values, times))
             if len(parts) > 8:
                 v, i = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-                kept[lang] = [(v, np.bincount(i, np.concatenate([p[1] for p in parts]), len(v)).astype(np.int64))]
+                kept[of] = [(v, np.bincount(i, np.concatenate([p[1] for p in parts]), len(v)).astype(np.int64))]
 
         for b in batches:
-            langs, texts = b.column(0).to_pylist(), strings(b.column(1))
+            names, texts = list(zip(b.column(0).to_pylist(), b.column(2).to_pylist())), strings(b.column(1))
             for lo, hi in pieces(texts, PIECE):
                 c, first = symbols(texts.slice(lo, hi - lo))
-                g = grams(c, first)
-                names = np.array([x or "" for x in langs[lo:hi]], object)
-                of = np.repeat(np.arange(hi - lo), np.diff(first))
-                for lang in sorted(set(names)):
-                    values, times = np.unique(g[(names == lang)[of]], return_counts=True)
-                    add(lang, values, times)
-        for lang, parts in kept.items():
+                g, n = grams(c, first), np.diff(first)
+                found, inverse = np.unique(np.array([f"{f}{x}" for x, f in names[lo:hi]], object), return_inverse=True)
+                of = np.repeat(inverse, n)
+                for k, name in enumerate(found):
+                    add((name[1:], int(name[0])), *np.unique(g[of == k], return_counts=True))
+        for (lang, half), parts in kept.items():
             for v, n in parts:
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(v.view(np.int64)), pa.array(n)], ["lang", "run", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(np.full(len(v), half, np.int32)), pa.array(v.view(np.int64)), pa.array(n)], ["lang", "fold", "run", "n"])
+
+    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("string"), fold().alias("fold")).mapInArrow(run, RUNS).groupBy("lang", "fold", "run").agg(F.sum("n").alias("n"))
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """By language and fold, what counts of 1, 2, and 3 or more lose; 0.5, 1, 1.5 where the counts of counts give no estimate."""
+    n = level.groupBy("lang", "fold").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    y = F.expr("n1 / (n1 + 2 * n2)")
+    known = F.expr("n1 > 0 and n2 > 0 and n3 > 0 and n4 > 0")
+
+    def of(k: int) -> Column:
+        d = F.when(known, k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")).otherwise(F.lit(k / 2))
+        return F.least(F.lit(float(k)), F.greatest(F.lit(0.05 * k), d)).alias(f"d{k}")
+
+    return n.select("lang", "fold", *[of(k) for k in (1, 2, 3)])
+
 
-    return docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("text").cast("string")).mapInArrow(run, "lang string, run bigint, n bigint").groupBy("lang", "run").agg(F.sum("n").alias("n"))
+def fit(counted: DataFrame, ws: Workspace) -> DataFrame:
+    """The model, a table (lang, fold, size, back, run, value, at): ``back`` false, of the runs of ``size`` symbols, the interpolated probabilities; true, of what stands before the last of ``size`` symbols, the weights given to the shorter run; ``at`` is the symbol before the last."""
+    of, model, shorter = ["lang", "fold"], None, None
+    levels = {ORDER: counted}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = ws.stash(levels[k + 1].groupBy(*of, F.col("run").bitwiseAND((1 << (_BITS * k)) - 1).alias("run")).agg(F.count("*").alias("n")), f"level-{k}", compression="zstd")
+    uniform = levels[1].groupBy(*of).agg((1.0 / (F.count("*") + 1)).alias("below"))
+    for k in range(1, ORDER + 1):
+        lost = F.when(F.col("n") >= 3, F.col("d3")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d1"))
+        runs = levels[k].join(F.broadcast(discounts(levels[k])), of).select(*of, "run", "n", lost.alias("lost"), F.shiftright("run", _BITS).alias("context"))
+        contexts = ws.stash(runs.groupBy(*of, "context").agg(F.sum("n").alias("total"), (F.sum("lost") / F.sum("n")).alias("weight")), f"contexts-{k}", compression="zstd")
+        runs = runs.join(contexts, [*of, "context"])
+        # two rows a language, or the level below
+        runs = runs.join(F.broadcast(uniform), of) if shorter is None else runs.withColumn("end", F.col("run").bitwiseAND((1 << (_BITS * (k - 1))) - 1)).join(shorter, [*of, "end"])
+        p = ws.stash(runs.select(*of, "run", ((F.col("n") - F.col("lost")) / F.col("total") + F.col("weight") * F.col("below")).alias("p")), f"p-{k}", compression="zstd")
+        shorter = p.select(*of, F.col("run").alias("end"), F.col("p").alias("below"))
+        own = p.select(*of, F.lit(k).alias("size"), F.lit(False).alias("back"), "run", F.col("p").cast("float").alias("value"))
+        own = own.union(contexts.select(*of, F.lit(k), F.lit(True), "context", F.col("weight").cast("float")))
+        model = own if model is None else model.union(own)
+    return ws.stash(model.withColumn("at", before_last(F.col("run"), F.col("size"), F.col("back"))), "model", compression="zstd")
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What counts of 0, 1, 2, and 3 or more lose; 0, 0.5, 1, 1.5 where the counts of counts give no estimate."""
-    n1, n2, n3, n4 = (int((counts == k).sum()) for k in (1, 2, 3, 4))
-    if not (n1 and n2 and n3 and n4):
-        return np.array([0, 0.5, 1.0, 1.5])
-    y = n1 / (n1 + 2 * n2)
-    d = np.array([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
-    return np.clip(d, [0, 0.05, 0.1, 0.15], [0, 1, 2, 3])
+def before_last(run: Column, size: Column, back: Column) -> Column:
+    """The symbol before the one that a row of the model is about; null where there is none."""
+    return F.when(back & (size > 1), run).when(~back & (size > 1), F.shiftright(run, _BITS)).bitwiseAND((1 << _BITS) - 1)
 
 
 class KneserNey:
-    """Sorted arrays of hashes: of runs of each length, with probabilities, and of contexts, with weights."""
+    """Sorted arrays of hashes: of runs of each length, with probabilities, and of contexts, with weights. ``langs`` are (language, fold)."""
 
-    def __init__(self, langs: list[str], tables: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[tuple[str, int]], table: pa.Table):
         self.langs = langs
-        parts = {k: ([], []) for k in range(1, ORDER + 1)}
-        back = {k: ([], []) for k in range(1, ORDER + 1)}
-        self.uniform = np.ones(len(langs))
-        for i, lang in enumerate(langs):
-            run, n = tables[lang]
-            levels = {ORDER: (run, n)}
-            for k in range(ORDER - 1, 0, -1):
-                shorter, n = np.unique(levels[k + 1][0] & np.uint64((1 << (_BITS * k)) - 1), return_counts=True)
-                levels[k] = (shorter, n)
-            self.uniform[i] = 1.0 / max(1, len(levels[1][0]) + 1)
-            lower = None
-            for k in range(1, ORDER + 1):
-                run, n = levels[k]
-                d = discounts(n)
-                context, inverse = np.unique(run >> np.uint64(_BITS), return_inverse=True)
-                total = np.bincount(inverse, n)
-                lost = d[np.minimum(n, 3)]
-                weight = np.bincount(inverse, lost) / total
-                below = self.uniform[i] if lower is None else lower[1][np.searchsorted(lower[0], run & np.uint64((1 << (_BITS * (k - 1))) - 1))]
-                p = (n - lost) / total[inverse] + weight[inverse] * below
-                lower = (run, p)
-                parts[k][0].append(key(run, i, k))
-                parts[k][1].append(p)
-                back[k][0].append(key(context, i, ORDER + k))
-                back[k][1].append(weight)
-        self.runs, self.weights = ({k: self._sorted(x) for k, x in y.items()} for y in (parts, back))
+        names = pa.array([f"{f}{x}" for x, f in langs], pa.string())
+        code = pc.fill_null(pc.index_in(pc.binary_join_element_wise(pc.cast(table["fold"], pa.string()), table["lang"], ""), names), -1).to_numpy()
+        size, back = table["size"].to_numpy(), table["back"].to_numpy()
+        run, value = table["run"].to_numpy().view(np.uint64), table["value"].to_numpy()
+        self.runs, self.weights, self.uniform = {}, {}, np.full(len(langs) + 1, 1 / (1 << _BITS))
+        for k in range(1, ORDER + 1):
+            for which, into, order in ((False, self.runs, k), (True, self.weights, ORDER + k)):
+                at = np.flatnonzero((size == k) & (back == which) & (code >= 0))
+                if k == 1 and not which:
+                    seen = np.bincount(code[at], minlength=len(langs))
+                    self.uniform[:-1][seen > 0] = 1.0 / (seen[seen > 0] + 1)
+                into[k] = self._sorted(([key(run[at], code[at], order)], [value[at]]))
 
     @staticmethod
     def _sorted(x: tuple[list, list]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,74 +204,105 @@ class KneserNey:
         return out
 
 
-def fit(counted: DataFrame) -> KneserNey:
-    """The model of all languages whose runs (lang, run, n) are given."""
-    reader = counted.toArrow()
-    names = pa.array(reader["lang"].to_pandas(), pa.string()).dictionary_encode()
-    code = names.indices.to_numpy(zero_copy_only=False)
-    run, n = reader["run"].to_numpy().view(np.uint64), reader["n"].to_numpy()
-    langs = sorted(names.dictionary.to_pylist())
-    tables = {}
-    for lang in langs:
-        own = code == names.dictionary.to_pylist().index(lang)
-        order = np.argsort(run[own])
-        tables[lang] = (run[own][order], n[own][order])
-    return KneserNey(langs, tables)
-
-
-def rounds(counted: DataFrame, most: int) -> list[list[str]]:
-    """The languages, in groups of ``most`` runs or of one language."""
-    out: list[list[str]] = [[]]
-    n = 0
-    for r in counted.groupBy("lang").count().orderBy("lang").collect():
-        if out[-1] and n + r["count"] > most:
-            out.append([])
-            n = 0
-        out[-1].append(r["lang"])
-        n += r["count"]
-    return out
+#: The model that a worker has read last, by its folder and the part of it.
+_READ: dict = {}
+
 
+def read_model(uri: str, part: tuple) -> KneserNey:
+    """A part (languages with folds, slices, the slice) of the model in a folder, from its files, once for each worker."""
+    if (uri, part) not in _READ:
+        import pyarrow.dataset as ds
 
-def perplexities(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """(doc_id, lang, n_symbols, log_perplexity) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        _READ.clear()
+        langs, slices, slice_ = part
+        fs, path = filesystem(uri)
+        names = sorted({x for x, _ in langs})
+        wanted = pc.field("lang").isin(names)
+        if slices > 1:
+            wanted &= pc.field("at").is_null() | pc.field("at").isin([x for x in range(1 << _BITS) if x % slices == slice_])
+        table = ds.dataset(path, filesystem=fs, format="parquet").to_table(filter=wanted)
+        _READ[uri, part] = KneserNey(list(langs), table)
+    return _READ[uri, part]
+
+
+def rounds(counted: DataFrame, most: int) -> list[tuple]:
+    """What is scored together: (languages with folds, slices, the slice), of ``most`` runs in all, or of about that in a slice of one language's model."""
+    out: list[tuple] = []
+    held: list[tuple[str, int]] = []
+    n = 0
+    for r in counted.groupBy("lang", "fold").count().orderBy("lang", "fold").collect():
+        one = (r["lang"], r["fold"])
+        if held and n + r["count"] > most:
+            out.append((tuple(held), 1, 0))
+            held, n = [], 0
+        if r["count"] > most:
+            slices = -(-r["count"] // most)
+            out += [((one,), slices, k) for k in range(slices)]
+        else:
+            held.append(one)
+            n += r["count"]
+    return [*out, (tuple(held), 1, 0)] if held else out
+
+
+def perplexities(docs: DataFrame, uri: str, part: tuple) -> DataFrame:
+    """(doc_id, lang, text_hash, n_symbols, total) of every document: the log-probability of those of its symbols that a part of the model is about."""
+    kind = "doc_id bigint, lang string, text_hash bigint, n_symbols bigint, total double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
+            m = read_model(uri, part)
+            number = {x: k for k, x in enumerate(m.langs)}
             texts, langs = strings(b.column(2)), b.column(1)
-            codes = np.array([m.langs.index(x or "") if (x or "") in m.langs else 0 for x in langs.to_pylist()], np.uint64)
+            codes = np.array([number.get((x or "", 1 - f), len(m.langs)) for x, f in zip(langs.to_pylist(), b.column(3).to_pylist())], np.int64)
             for lo, hi in pieces(texts, PIECE):
                 c, first = symbols(texts.slice(lo, hi - lo))
                 n = np.diff(first)
-                g, own = grams(c, first), np.repeat(codes[lo:hi], n)
+                g, own, of = grams(c, first), np.repeat(codes[lo:hi], n), np.repeat(np.arange(hi - lo), n)
+                if part[1] > 1:
+                    mine = (g >> np.uint64(_BITS) & _MASK) % np.uint64(part[1]) == part[2]
+                    g, own, of = g[mine], own[mine], of[mine]
+                total = np.zeros(hi - lo)
                 # every distinct run of a language is looked up once
-                both = g | (own << np.uint64(_BITS * ORDER)) if len(m.langs) <= 16 else None
-                if both is None:
-                    p = m.log_p(g, own.astype(np.int64))
-                else:
-                    distinct, inverse = np.unique(both, return_inverse=True)
-                    p = m.log_p(distinct & np.uint64((1 << (_BITS * ORDER)) - 1), (distinct >> np.uint64(_BITS * ORDER)).astype(np.int64))[inverse]
-                total = np.bincount(np.repeat(np.arange(hi - lo), n), p, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), langs.slice(lo, hi - lo), pa.array(n), pa.array([-s / k if k else None for s, k in zip(total.tolist(), n.tolist())], pa.float64())], ["doc_id", "lang", "n_symbols", "log_perplexity"])
+                for code in np.unique(codes[lo:hi]):
+                    at = own == code
+                    distinct, inverse = np.unique(g[at], return_inverse=True)
+                    total += np.bincount(of[at], m.log_p(distinct, np.full(len(distinct), code))[inverse], hi - lo)
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in (0, 1, 4)), pa.array(n), pa.array(total)], ["doc_id", "lang", "text_hash", "n_symbols", "total"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, lang string, n_symbols bigint, log_perplexity double")
+    return docs.select(F.col("doc_id").cast("bigint"), "lang", F.col("text").cast("string"), fold().alias("fold"), F.xxhash64("text").alias("text_hash")).mapInArrow(run, kind)
 
 
 def score(docs: DataFrame, ws: Workspace, least: int = 1, most: int = ROUND_RUNS) -> DataFrame:
-    """Perplexities of all documents, each under its language's model."""
+    """(doc_id, lang, n_symbols, log_perplexity) of all documents, each under its language's model of the other fold."""
+    docs = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     counted = ws.stash(count_runs(docs).where(F.col("n") >= least), "runs", compression="zstd")
-    groups, lang, out = rounds(counted, most), F.coalesce("lang", F.lit("")), None
-    for k, group in enumerate(groups):
-        others = [x for g in groups if g is not group for x in g]
-        # documents of languages without any runs are in the first group
-        own = docs if not others else docs.where(~lang.isin(others)) if k == 0 else docs.where(lang.isin(group))
-        scored = ws.stash(perplexities(own, fit(counted.where(F.col("lang").isin(group)))), f"scores-{k}")
-        out = scored if out is None else out.union(scored)
-    return out
-
-
-def judge(docs: DataFrame, below: float = 8.0, above: float = 8.0, shortest: int = 100, typical: int = 1000, least: int = 1) -> DataFrame:
+    fit(counted, ws)
+    parts = rounds(counted, most) or [((), 1, 0)]
+    known = [x for langs, _, _ in parts for x in langs]
+    lang = F.concat((1 - fold()).cast("string"), F.coalesce("lang", F.lit("")))
+    whole = split = None
+    for k, part in enumerate(parts):
+        own_names = [f"{f}{x}" for x, f in part[0]]
+        others = [f"{f}{x}" for x, f in known if (x, f) not in part[0]]
+        # documents that no model is about are in a round of their own, or in the first if that is of whole models
+        own = docs if not others else docs.where(lang.isin(own_names)) if k or part[1] > 1 else docs.where(~lang.isin(others))
+        scored = ws.stash(perplexities(own, f"{ws.path}/model", part), f"scores-{k}")
+        if part[1] > 1:
+            scored = scored.withColumn("slices", F.lit(part[1]))
+            split = scored if split is None else split.union(scored)
+        else:
+            whole = scored if whole is None else whole.union(scored)
+    if parts[0][1] > 1:
+        rest = ws.stash(perplexities(docs.where(~lang.isin([f"{f}{x}" for x, f in known])), f"{ws.path}/model", ((), 1, 0)), "scores-rest")
+        whole = rest if whole is None else whole.union(rest)
+    if split is not None:  # a row's symbols are in several slices, and rows may repeat
+        summed = split.groupBy("doc_id", "lang", "text_hash", "n_symbols", "slices").agg(F.sum("total").alias("total"), F.count("*").alias("n"))
+        one = summed.withColumn("copies", F.expr("n div slices")).withColumn("total", F.col("total") / F.col("copies")).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+        whole = whole.union(one.select(*whole.columns)) if whole is not None else one.select("doc_id", "lang", "text_hash", "n_symbols", "total")
+    return whole.select("doc_id", "lang", "n_symbols", F.when(F.col("n_symbols") > 0, -F.col("total") / F.col("n_symbols")).alias("log_perplexity"))
+
+
+def judge(docs: DataFrame, below: float = 5.0, above: float = 8.0, shortest: int = 100, typical: int = 1000, least: int = 1) -> DataFrame:
     """A row for each document: its perplexity, its language's band, and whether it is kept."""
     ws = Workspace(docs.sparkSession, "quality")
     scored = score(docs, ws, least)

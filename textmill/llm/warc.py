@@ -28,18 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm.common import filesystem
+
 #: Records nearer to each other than this are read at once, up to RANGE bytes.
 GAP, RANGE = 1 << 16, 4 << 20
 #: Bytes of records to a task that reads them.
 TASK = 64 << 20
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
-
-
 @dataclass
 class Member:
     name: str
@@ -177,7 +173,7 @@ def write_packages(pages: DataFrame, folder: str, archive_mb: int = 16, package_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        fs, root = _open(folder)
+        fs, root = filesystem(folder)
         state: dict = {}
 
         def flush() -> None:
@@ -217,7 +213,7 @@ def write_packages(pages: DataFrame, folder: str, archive_mb: int = 16, package_
         if state:
             yield finish()
 
-    fs, root = _open(folder)
+    fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     return pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "path string, size bigint, records bigint")
 
@@ -229,7 +225,7 @@ def locate(packages: DataFrame) -> DataFrame:
         kind = pa.schema([("path", pa.string()), ("member", pa.string()), ("place", pa.int64()), ("length", pa.int64()), ("indexed", pa.bool_())])
         for b in batches:
             for path in b.column(0).to_pylist():
-                fs, name = _open(path)
+                fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
                     try:
                         members = directory(f, f.size())
@@ -343,7 +339,7 @@ def read_records(places: DataFrame) -> DataFrame:
                 if path not in files:
                     for x in files.values():
                         x.close()
-                    fs, name = _open(path)
+                    fs, name = filesystem(path)
                     files = {path: fs.open_input_file(name)}
                 f = files[path]
                 try:
