@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import clashing, hard, long_text, table, words
 from textmill.llm import maxent
+from textmill.llm.common import Workspace
 
 
 def chain(seed, n=300):
@@ -30,7 +32,7 @@ def test_held_out_text_is_predicted(spark, model):
 
 
 def test_probabilities_add_up(model):
-    context = np.array([3 * 2048 + 5, maxent._START * 2049])
+    context = np.array([3 << maxent._WIDE | 5, maxent._START << maxent._WIDE | maxent._START])
     by_class = np.exp(maxent._softmax(model.tables[0], maxent.features(context, maxent.CLASSES, maxent.ROWS_CLASS)))
     total = np.zeros(2)
     for c in range(maxent.CLASSES):
@@ -40,13 +42,13 @@ def test_probabilities_add_up(model):
 
 def test_rare_words_cost_more_than_ordinary_ones(spark):
     r = random.Random(2)
-    often, seldom = ([f"{x}{k}" for k in range(n)] for x, n in (("a", 992), ("b", 400)))
+    often, seldom = ([f"{x}{k}" for k in range(n)] for x, n in (("a", maxent.CLASSES * maxent.MEMBERS - maxent.TAIL), ("b", 400)))
     texts = [" ".join(often)] * 8 + [" ".join(seldom)] * 4 + [" ".join(f"c{k}x{j}" for j in range(100)) for k in range(40)]
     model = maxent.train(table(spark, list(enumerate(texts))))
     counts = maxent.slot_counts(table(spark, list(enumerate(texts))))
     # over the slots of a symbol, the shares add up
     tail = model.symbol >= maxent.CLASSES * maxent.MEMBERS - maxent.TAIL
-    assert np.allclose(np.bincount(model.symbol[tail], np.exp(model.share[tail]))[-maxent.TAIL :], 1, atol=1e-3) and not model.share[~tail].any() and counts.sum() == 8 * 992 + 4 * 400 + 4000
+    assert np.allclose(np.bincount(model.symbol[tail], np.exp(model.share[tail]))[-maxent.TAIL :], 1, atol=1e-3) and not model.share[~tail].any() and counts.sum() == 8 * len(often) + 4 * 400 + 4000
     known, unknown = (" ".join(f"{x}{r.randrange(400)}{y}" for _ in range(300)) for x, y in (("b", ""), ("q", "z")))
     got = {x["doc_id"]: x["perplexity"] for x in maxent.score(table(spark, [(1, known), (2, unknown)]), model).collect()}
     assert got[2] > 4 * got[1]
@@ -59,12 +61,12 @@ def test_scores_against_a_loop(spark, model):
     import pyarrow as pa
 
     (_, _, t), = tokens_in(pa.array([text]))
-    s = model.symbol[(t.hash >> np.uint64(64 - maxent.SLOT_BITS)).astype(int)]
+    s = model.symbol[(t.hash >> np.uint64(64 - maxent.SLOT_BITS)).astype(int)].astype(int)
     own = maxent.CLASSES * maxent.MEMBERS - maxent.TAIL
     before = [maxent._START, maxent._START, *(int(x) if x < own else own + int(x) % maxent.TAIL_BEFORE for x in s)]
     total = 0.0
     for k, x in enumerate(s.tolist()):
-        c = np.array([before[k] * 2048 + before[k + 1]])
+        c = np.array([before[k] << maxent._WIDE | before[k + 1]])
         total += maxent._softmax(model.tables[0], maxent.features(c, maxent.CLASSES, maxent.ROWS_CLASS))[0, x // maxent.MEMBERS]
         total += maxent._softmax(model.tables[1], maxent.features(c, np.array([x // maxent.MEMBERS]), maxent.ROWS_MEMBER))[0, x % maxent.MEMBERS]
     r = maxent.score(table(spark, [(1, text)]), model).first()
@@ -72,6 +74,72 @@ def test_scores_against_a_loop(spark, model):
     assert r["perplexity"] == pytest.approx(np.exp(-total / 40), rel=1e-4)
 
 
+def test_a_gradient_step_against_a_loop():
+    r = np.random.default_rng(4)
+    rows, width, contexts = 12, 5, 7
+    table, seen, met = r.normal(size=(rows, width)).astype(np.float32), np.abs(r.normal(size=rows)).astype(np.float32) * 1e-3, np.zeros(rows, np.float32)
+    feats = np.stack([r.integers(0, rows, contexts) for _ in range(4)])
+    # distinct events, as _events gives them
+    which, target = np.divmod(np.sort(r.choice(contexts * width, 25, replace=False)), width)
+    times = r.integers(1, 4, 25)
+    want, want_seen, want_met = table.astype(float), seen.astype(float), met.astype(float)
+    gradient = np.zeros((contexts, width))
+    for c in range(contexts):
+        z = sum(want[feats[f, c]] for f in range(4))
+        p = np.exp(z) / np.exp(z).sum()
+        for w, t, n in zip(which, target, times):
+            if w == c:
+                gradient[c] -= n * p
+                gradient[c, t] += n
+    gradient /= times.sum()
+    for f in range(4):
+        by_row = {}
+        for c in range(contexts):
+            by_row.setdefault(int(feats[f, c]), []).append(c)
+        for row, own in by_row.items():
+            g = sum(gradient[c] for c in own)
+            want_met[row] += sum(n for w, n in zip(which, times) if w in own)
+            want_seen[row] += (g**2).mean()
+            want[row] += 0.2 * g / np.sqrt(want_seen[row] + maxent.CALM)
+    maxent._step(table, seen, met, feats, which, target, times, 0.2)
+    assert np.allclose(table, want, rtol=1e-3, atol=1e-4) and np.allclose(seen, want_seen, rtol=1e-3) and np.allclose(met, want_met)
+
+
+def test_tasks_are_averaged_by_how_often_they_met_a_row(spark):
+    docs = table(spark, [(k, chain(k, 60)) for k in range(40)]).repartition(3).select("text")
+    docs = Workspace(spark, "t").stash(docs, "docs")
+    counts = maxent.slot_counts(docs)
+    symbol = maxent.symbols(counts)
+    start = maxent.Weights(counts, symbol, maxent.shares(counts, symbol))
+
+    def changes(df):
+        out = [(np.zeros(len(t)), np.zeros(t.shape)) for t in start.tables]
+        for r in maxent.train_pass(df, start, 0.2).collect():
+            n, c = np.frombuffer(r["met"], np.float32), np.frombuffer(r["change"], np.float32)
+            out[r["table"]][0][r["strip"] : r["strip"] + len(n)] = n
+            out[r["table"]][1][r["strip"] : r["strip"] + len(n)] = c.reshape(len(n), -1)
+        return out
+
+    parts = [[r[0] for r in docs.where(F.spark_partition_id() == k).collect()] for k in range(docs.rdd.getNumPartitions())]
+    own = [changes(spark.createDataFrame([(t,) for t in p], "text string").coalesce(1)) for p in parts if p]
+    both = changes(docs)
+    for k in (0, 1):
+        n = sum(x[k][0] for x in own)
+        mean = sum(x[k][0][:, None] * x[k][1] for x in own) / np.maximum(n, 1e-9)[:, None]
+        assert np.allclose(both[k][0], n) and np.allclose(both[k][1], mean, atol=1e-4)
+
+
+def test_more_text_beats_the_unigram_by_more(spark):
+    gains = []
+    for n in (40, 600):
+        docs = table(spark, [(k, chain(k)) for k in range(n)])
+        r = maxent.score(docs, maxent.train(docs)).selectExpr("sum(log_probability) / sum(n_tokens) AS m").first()["m"]
+        c = maxent.slot_counts(docs)
+        c = c[c > 0] / c.sum()
+        gains.append(r - float((c * np.log(c)).sum()))
+    assert gains[1] > gains[0] > 0
+
+
 def test_every_document_counts(spark):
     docs = table(spark, [(k, words(k, 50, 30)) for k in range(50)])
     assert maxent.slot_counts(docs).sum() == 2500

@@ -1,12 +1,12 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 A word is known by the upper ``SLOT_BITS`` bits of its hash. The most frequent of these slots are symbols of their own, all others
-share ``TAIL`` symbols (as words before, ``TAIL_BEFORE``), so there are ``CLASSES`` x ``MEMBERS`` symbols, 32 x 32. A symbol's probability after w2 w1 is that of its class
-times that of the symbol in its class and, for a word of the tail, times the slot's share of its symbol over the corpus (``UNSEEN`` added to every count); the former two are softmaxes over weights that are summed from four features: none (the
+share ``TAIL`` symbols (as words before, ``TAIL_BEFORE``), so there are ``CLASSES`` x ``MEMBERS`` symbols, 64 x 64. A symbol's probability after w2 w1 is that of its class
+times that of the symbol in its class and, for a word of the tail, times the slot's share of its symbol over the corpus (slots that it lacks have, together, as much as there are slots that it has once); the former two are softmaxes over weights that are summed from four features: none (the
 bias), the word before (w1), the two words before (w2 w1), and the word before that one alone (the skip w2 _). Features
 are hashed to rows of a table of ``ROWS_CLASS`` rows for classes and, together with the class, of one of ``ROWS_MEMBER`` rows for members.
 
-Training makes ``rounds`` passes, each over documents of its own, all documents in all. In a pass, every task
+Training starts from the corpus' shares as biases and makes ``rounds`` passes, each over documents of its own, all documents in all. In a pass, every task
 takes gradient steps, with AdaGrad, over blocks of its tokens from the common weights on; what changed is
 summed by row of the table over all tasks, each weighted by how often it met the row (iterative parameter mixing), and added to the common weights.
 A block's equal contexts are computed once, in numpy.
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from textmill.llm.common import mix, tokens_in
 
-CLASSES = MEMBERS = 32
-TAIL, TAIL_BEFORE = 32, 4
-SLOT_BITS = 20
-#: What is added to the count of every slot of the tail, for words that the corpus lacks.
+CLASSES = MEMBERS = 64
+TAIL, TAIL_BEFORE = 64, 4
+SLOT_BITS = 22
+#: Bits of a symbol as part of a context: one more value, for the place before a text, has to fit.
+_WIDE = 13
+#: The most that a slot without a count counts for.
 UNSEEN = 0.5
 ROWS_CLASS, ROWS_MEMBER = 1 << 13, 1 << 15
 #: Tokens to a gradient step: a task's first, and its largest; each is twice the one before until then.
@@ -41,6 +43,8 @@ CALM = 1e-10
 #: Rows of a table that travel together.
 STRIP = 256
 _START = CLASSES * MEMBERS
+#: The first rows of a table, where each group's bias is; no other feature is hashed to them.
+_BIASES = CLASSES + 1
 
 
 def slot_counts(docs: DataFrame) -> np.ndarray:
@@ -50,7 +54,8 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
         n = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
             for _, _, t in tokens_in(b.column(0)):
-                n += np.bincount((t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(n))
+                slots, times = np.unique((t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64), return_counts=True)
+                n[slots] += times
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["slot", "n"])
 
@@ -66,28 +71,41 @@ def symbols(counts: np.ndarray) -> np.ndarray:
     order = np.lexsort((np.arange(len(counts)), -counts))
     out = own + np.arange(len(counts)) % TAIL
     out[order[:own]] = np.arange(own)
-    return out.astype(np.int64)
+    return out.astype(np.int16)
+
+
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """The counts, with as much for all slots that the corpus lacks together as there are slots that it has once (Good's and Turing's estimate)."""
+    unmet = counts == 0
+    return np.where(unmet, min(UNSEEN, max(1, int((counts == 1).sum())) / max(1, int(unmet.sum()))), counts)
 
 
 def shares(counts: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """The log-probability of each slot in its symbol: 0 for those that have one of their own."""
-    n = counts + UNSEEN
+    n = smoothed(counts)
     out = np.log(n / np.bincount(symbol, n)[symbol])
     out[symbol < CLASSES * MEMBERS - TAIL] = 0
     return out.astype(np.float32)
 
 
 class Weights:
-    def __init__(self, symbol: np.ndarray, share: np.ndarray):
+    """Weights before training: the biases give each symbol its share of the corpus, all else is 0."""
+
+    def __init__(self, counts: np.ndarray, symbol: np.ndarray, share: np.ndarray):
         self.symbol, self.share = symbol, share
         self.tables = [np.zeros((ROWS_CLASS, CLASSES), np.float32), np.zeros((ROWS_MEMBER, MEMBERS), np.float32)]
+        n = np.log(np.bincount(symbol, smoothed(counts), CLASSES * MEMBERS) + 1e-9).reshape(CLASSES, MEMBERS)
+        whole = np.logaddexp.reduce(n, axis=1)
+        self.tables[0][CLASSES] = whole - np.logaddexp.reduce(whole)
+        self.tables[1][:CLASSES] = n - whole[:, None]
 
 
 def features(context: np.ndarray, group: np.ndarray | int, rows: int) -> np.ndarray:
-    """The rows of the four features of each context w2 * 2048 + w1, for a group: a column each."""
-    w1, w2, group = context & 2047, context >> 11, np.asarray(group, np.uint64)
-    base = [np.zeros(len(context), np.uint64), w1.astype(np.uint64) + np.uint64(1 << 40), context.astype(np.uint64) + np.uint64(2 << 40), w2.astype(np.uint64) + np.uint64(3 << 40)]
-    return np.stack([(mix(x + (group << np.uint64(44))) >> np.uint64(32)).astype(np.int64) & (rows - 1) for x in base])
+    """The rows of the four features of each context w2 << _WIDE | w1, for a group: a column each."""
+    w1, w2, own = context & ((1 << _WIDE) - 1), context >> _WIDE, np.broadcast_to(np.asarray(group, np.uint64), context.shape)
+    base = [w1.astype(np.uint64) + np.uint64(1 << 40), context.astype(np.uint64) + np.uint64(2 << 40), w2.astype(np.uint64) + np.uint64(3 << 40)]
+    hashed = [_BIASES + ((mix(x + (own << np.uint64(44))) >> np.uint64(32)) % np.uint64(rows - _BIASES)).astype(np.int64) for x in base]
+    return np.stack([own.astype(np.int64), *hashed])
 
 
 def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -124,7 +142,7 @@ def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> I
     for lo, hi, t in tokens_in(column):
         if len(t.hash):
             slot = (t.hash >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            s = symbol[slot]
+            s = symbol[slot].astype(np.int64)
             row = t.row()
             before = np.where(s < CLASSES * MEMBERS - TAIL, s, CLASSES * MEMBERS - TAIL + s % TAIL_BEFORE)
             w1, w2 = np.roll(before, 1), np.roll(before, 2)
@@ -132,7 +150,7 @@ def _blocks(column, symbol: np.ndarray, sizes: Iterator[int] | None = None) -> I
             w1[begin] = w2[begin] = _START
             second = begin[begin + 1 < len(s)] + 1
             w2[second] = _START
-            held.append((w2 * 2048 + w1, s, row + lo, slot))
+            held.append((w2 << _WIDE | w1, s, row + lo, slot))
             n += len(s)
         while n >= size:
             parts = [np.concatenate(x) for x in zip(*held)]
@@ -152,7 +170,7 @@ def _growing() -> Iterator[int]:
 
 def _events(context: np.ndarray, s: np.ndarray):
     """Distinct contexts, distinct (context, class) pairs and distinct events, each with what it points to."""
-    events, inverse, times = np.unique(context * 1024 + s, return_inverse=True, return_counts=True)
+    events, inverse, times = np.unique(context * (CLASSES * MEMBERS) + s, return_inverse=True, return_counts=True)
     pairs, pair = np.unique(events // MEMBERS, return_inverse=True)
     contexts, ctx = np.unique(pairs // CLASSES, return_inverse=True)
     return contexts, pairs, ctx, events, pair, times, inverse
@@ -202,7 +220,7 @@ def train(docs: DataFrame, rounds: int = 2, rate: float = 0.2) -> Weights:
     """Weights from all documents, each used once."""
     counts = slot_counts(docs)
     symbol = symbols(counts)
-    weights = Weights(symbol, shares(counts, symbol))
+    weights = Weights(counts, symbol, shares(counts, symbol))
     turn = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         for r in train_pass(docs.where(turn == k), weights, rate).toLocalIterator(prefetchPartitions=True):
