@@ -58,6 +58,14 @@ def test_budgets_are_exact_and_texts_are_cut_there(spark):
     assert n == {"a": 2000, "b": 1000}
 
 
+def test_rows_that_repeat_keep_their_languages(spark):
+    docs = table(spark, [(1, "x y", "en", "a"), (1, "x y", "de", "a"), (1, "x y", None, "a"), (2, "z", "fr", "a")])
+    got = mixing.mix_texts(docs, total_tokens=7).collect()
+    assert sorted(map(str, ((r["doc_id"], r["lang"], r["text"]) for r in got))) == sorted(map(str, [(1, "en", "x y"), (1, "de", "x y"), (1, None, "x y"), (2, "fr", "z")]))
+    first = [r["lang"] for r in sorted((r for r in got if r["doc_id"] == 1), key=lambda r: r["start_token"])]
+    assert first == [None, "de", "en"]
+
+
 def test_hard_cases(spark):
     docs = clashing(table(spark, [*hard(), (10, long_text(), "en", "a")]))
     got = mixing.mix_sources(docs, total_tokens=900_001).collect()

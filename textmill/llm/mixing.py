@@ -10,7 +10,7 @@ Only ids, keys and counts are shuffled, never texts.
 
 Defined results: a null or empty text has no tokens and is never taken. Documents of null source form
 a source of their own. A null id counts as an empty one. Rows that repeat are documents each; rows that
-agree in id and text are alike, so it doesn't matter which of them comes first. Columns beyond those named are ignored.
+agree in id and text are taken in the order of their languages, nulls first, and keep those. Columns beyond those named are ignored.
 A source without tokens or weight takes no part, and the whole goes to the others.
 """
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.llm.common import Workspace
+
 WORD = r"[^ \t\n\r\f]+"
 #: Hex digits that name a range of keys: 65,536 ranges of each source, of 150,000 documents each if it has ten thousand million.
 RANGE_DIGITS = 4
@@ -59,26 +61,28 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, total_to
     return plan(docs, weights, total_tokens, seed, id_col, text_col, source_col).select("doc_id", F.when(F.col("src") != "", F.expr("substr(src, 2)")).alias("source"), "epoch", "start_token", "n_tokens", "take_tokens")
 
 
-def plan(docs: DataFrame, weights: dict[str, int] | None, total_tokens: int | None, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """As ``mix_sources``, with the group (``src``) and key of each document."""
-    keyed = docs.select(F.col(id_col).alias("doc_id"), _group(source_col).alias("src"), token_count(F.col(text_col)).alias("n"), _key(seed, id_col, text_col).alias("key")).where("n > 0")
+def plan(docs: DataFrame, weights: dict[str, int] | None, total_tokens: int | None, seed: int, id_col: str, text_col: str, source_col: str, lang_col: str | None = None) -> DataFrame:
+    """As ``mix_sources``, with the group (``src``), key and language of each document. Texts are read once, for their keys and counts."""
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), _group(source_col).alias("src"), lang.alias("lang"), token_count(F.col(text_col)).alias("n"), _key(seed, id_col, text_col).alias("key")).where("n > 0")
+    keyed = Workspace(docs.sparkSession, "mixing").stash(keyed, "keys", compression="zstd")
     ranges = keyed.groupBy("src", F.substring("key", 1, RANGE_DIGITS).alias("range")).agg(F.sum("n").alias("tokens"))
     ranges = ranges.withColumn("before", F.sum("tokens").over(Window.partitionBy("src").orderBy("range")) - F.col("tokens"))
     weights = weights and {f"={k}" if k is not None else "": v for k, v in weights.items()}
     goals = budgets(ranges.groupBy("src").agg(F.sum("tokens").alias("total")), total_tokens, weights)
     place = ranges.join(goals, "src").select("src", "range", "before", "full", "rest")
-    within = Window.partitionBy("src", "range").orderBy("key", "doc_id")
+    within = Window.partitionBy("src", "range").orderBy("key", "doc_id", "lang")
     placed = keyed.withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("inner", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).join(place, ["src", "range"]).withColumn("start", F.col("before") + F.col("inner"))
     last = F.greatest(F.lit(0), F.least(F.col("n"), F.col("rest") - F.col("start")))
     taken = placed.withColumn("epoch", F.explode(F.expr("sequence(0L, full)"))).withColumn("take", F.when(F.col("epoch") < F.col("full"), F.col("n")).otherwise(last)).where("take > 0")
-    return taken.select("doc_id", "src", "key", "epoch", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), F.col("take").alias("take_tokens"))
+    return taken.select("doc_id", "src", "lang", "key", "epoch", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), F.col("take").alias("take_tokens"))
 
 
 def mix_texts(docs: DataFrame, weights: dict[str, int] | None = None, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
     """The mixture itself: as ``mix_sources``, with language and text, which ends after the last token that is taken. Texts are shuffled once, by the key that the plan is joined on."""
-    own = docs.select(_group("source").alias("src"), _key(seed, "doc_id", "text").alias("key"), "lang", "text").groupBy("src", "key").agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
+    own = docs.select(_group("source").alias("src"), _key(seed, "doc_id", "text").alias("key"), "text").groupBy("src", "key").agg(F.first("text").alias("text"))
     cut = F.when(F.col("take_tokens") == F.col("n_tokens"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[ \\t\\n\\r\\f]*{WORD}"), F.lit(0)), F.lit(1), F.col("take_tokens").cast("int")), ""))
-    mixed = plan(docs, weights, total_tokens, seed, "doc_id", "text", "source").join(own, ["src", "key"])
+    mixed = plan(docs, weights, total_tokens, seed, "doc_id", "text", "source", "lang").join(own, ["src", "key"])
     return mixed.select("doc_id", F.when(F.col("src") != "", F.expr("substr(src, 2)")).alias("source"), "lang", "epoch", "start_token", "n_tokens", "take_tokens", cut.alias("text"))
 
 
