@@ -6,7 +6,7 @@ left of the shorter isn't empty, the template rewrote history: the span then cov
 changed, and ``rewritten_from`` is the first turn whose own span was touched.
 
 Defined results: turns are ordered by number, rows of the same number by role and text, nulls first; a null role or text is rendered as an empty one.
-Conversations of null id are one conversation. A turn that a template doesn't render has an empty span. Repeated rows are turns each.
+A row of null id is a conversation by itself: nothing tells what it belongs to, and together such rows could be any number. A turn that a template doesn't render has an empty span. Repeated rows are turns each.
 Rows that end in the same character on both sides are ambiguous; the common start wins.
 """
 
@@ -81,7 +81,8 @@ RESULT = "conv_id bigint, turn bigint, role string, template string, begin int,
 def locate(conversations: DataFrame, templates: dict[str, Callable[[list[Message]], str]] | None = None) -> DataFrame:
     """A row for each template and turn; places count characters of the rendering up to that turn."""
     templates = templates or TEMPLATES
-    whole = conversations.select("conv_id", F.struct("turn", "role", "text").alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    turns = conversations.select("conv_id", F.struct("turn", "role", "text").alias("m"))
+    whole = turns.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("m")).union(turns.where("conv_id is null").select("conv_id", F.array("m")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("template", pa.string()), ("begin", pa.int32()), ("stop", pa.int32()), ("rewritten", pa.bool_()), ("rewritten_from", pa.int64())])
