@@ -9,15 +9,18 @@ remembers their names, so that they still count as sent.
 Changes are rows (op, source, lang, tokenizer, n_tokens, old_source, old_lang, old_tokenizer, old_tokens): ``insert`` adds a document, ``delete``
 takes one away (its counts are the old ones), ``revise`` does both.
 
-Defined results: null sources, languages and versions are groups of their own. Documents of null or empty text count as documents of no tokens.
+Defined results: null sources, languages and versions are groups of their own; null counts are 0. Documents of null or empty text count as documents of no tokens.
 Repeated rows count each. A group that comes to no documents and no tokens has no row. Unknown ops are an error. An empty batch is committed like any other.
 Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,31 +38,15 @@ def count(text: Column, version: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(PATTERNS[version])), F.lit(0)).cast("bigint")
 
 
-def bpe_count(path: str, pattern: str):
-    """A column function that counts the tokens of a public byte-pair vocabulary (a file of base64 tokens and ranks)."""
-    import base64
-
-    from pyspark.sql.types import LongType
-
-    kept: dict = {}
-
-    @F.pandas_udf(LongType())
-    def n(text):
-        import pandas as pd
-        import tiktoken
-
-        if not kept:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-            kept["it"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return pd.Series([len(kept["it"].encode_ordinary(t)) if t else 0 for t in text], dtype="int64")
-
-    return n
+def tokenizer_count(tokenizer) -> Callable[[Column], Column]:
+    """A counter of the tokens of a ``textmill`` Tokenizer, for a version of that name."""
+    return lambda text: F.coalesce(tokenizer.count_col(text), F.lit(0)).cast("bigint")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
     """The signed sums of a batch, by group."""
-    old = F.struct(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_tokenizer").alias("tokenizer"), F.lit(-1).cast("bigint").alias("docs"), (-F.col("old_tokens")).alias("tokens"))
-    new = F.struct("source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("docs"), F.col("n_tokens").alias("tokens"))
+    old = F.struct(F.col("old_source").alias("source"), F.col("old_lang").alias("lang"), F.col("old_tokenizer").alias("tokenizer"), F.lit(-1).cast("bigint").alias("docs"), (-F.coalesce("old_tokens", F.lit(0))).alias("tokens"))
+    new = F.struct("source", "lang", "tokenizer", F.lit(1).cast("bigint").alias("docs"), F.coalesce("n_tokens", F.lit(0)).alias("tokens"))
     parts = F.when(F.col("op") == "insert", F.array(new)).when(F.col("op") == "delete", F.array(old)).when(F.col("op") == "revise", F.array(old, new)).otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))))
     return changes.select(F.explode(parts).alias("d")).select("d.*").groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
@@ -85,13 +72,21 @@ class Rollup:
             stream.close()
 
     def _put(self, name: str, value: dict) -> bool:
-        """Creates a file whole and once: written beside, then renamed, which fails if it is there."""
+        """Creates a file whole and once: written beside, then given its name. On a local file system that is a hard link, which fails if the name is taken; elsewhere a rename, which HDFS refuses in one step if it is. A store whose rename overwrites can't hold a rollup with more than one writer."""
         self._fs.mkdirs(self._path(name).getParent())
         beside = self._path(f"tmp/{uuid.uuid4().hex}")
         stream = self._fs.create(beside, False)
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
         target = self._path(name)
+        if self._fs.getScheme() == "file":
+            try:
+                os.link(beside.toUri().getPath(), target.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
+            self._fs.delete(beside, False)
+            return done
         done = not self._fs.exists(target) and self._fs.rename(beside, target)
         if not done:
             self._fs.delete(beside, False)
@@ -128,17 +123,18 @@ class Rollup:
         self._put(f"bases/{n:09d}.json", {"attempt": attempt, "batches": sorted({*base["batches"], *(c[:-5] for c in commits)})})
 
 
-def maintain(docs: DataFrame, labels: DataFrame, rollup: Rollup) -> DataFrame:
-    """The rollup of a corpus' life: all documents come in, those labelled toxic go, those of quality 0 are counted anew by the next tokenizer; each batch is sent twice."""
-    counted = docs.select("doc_id", "source", "lang", count(F.col("text"), WORDS).alias("words"), count(F.col("text"), PIECES).alias("pieces"))
+def maintain(docs: DataFrame, labels: DataFrame, rollup: Rollup, counters: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """The rollup of a corpus' life: all documents come in, those labelled toxic go, those of quality 0 are counted anew by the next tokenizer; each batch is sent twice. ``counters`` are the two tokenizer versions, in order, and what counts their tokens: by default, two patterns."""
+    (first, words), (second, pieces) = (counters or {v: functools.partial(count, version=v) for v in PATTERNS}).items()
+    counted = docs.select("doc_id", "source", "lang", words(F.col("text")).alias("words"), pieces(F.col("text")).alias("pieces"))
     counted = Workspace(docs.sparkSession, "counts").stash(counted, "counts")
     none = {"old_source": "string", "old_lang": "string", "old_tokenizer": "string", "old_tokens": "bigint"}
-    came = counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit(WORDS).alias("tokenizer"), F.col("words").alias("n_tokens"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    came = counted.select(F.lit("insert").alias("op"), "source", "lang", F.lit(first).alias("tokenizer"), F.col("words").alias("n_tokens"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     marked = counted.join(marks, "doc_id")
-    was = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(WORDS).alias("old_tokenizer"), F.col("words").alias("old_tokens")]
+    was = [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.lit(first).alias("old_tokenizer"), F.col("words").alias("old_tokens")]
     gone = marked.where("toxic = 1").select(F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in KEYS], F.lit(None).cast("bigint").alias("n_tokens"), *was)
-    anew = marked.where("quality = 0 and (toxic is null or toxic <> 1)").select(F.lit("revise").alias("op"), "source", "lang", F.lit(PIECES).alias("tokenizer"), F.col("pieces").alias("n_tokens"), *was)
+    anew = marked.where("quality = 0 and (toxic is null or toxic <> 1)").select(F.lit("revise").alias("op"), "source", "lang", F.lit(second).alias("tokenizer"), F.col("pieces").alias("n_tokens"), *was)
     for _ in range(2):
         for name, changes in (("came", came), ("gone", gone), ("anew", anew)):
             rollup.apply(name, changes)
