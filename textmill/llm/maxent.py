@@ -40,6 +40,8 @@ ROWS_CLASS, ROWS_MEMBER = 1 << 13, 1 << 15
 FIRST, BLOCK = 1 << 13, 1 << 18
 #: What AdaGrad adds to the sum of squares: rows met seldom learn less.
 CALM = 1e-10
+#: Rows up to which equal ones are added up in step with those of others.
+SHORT = 24
 #: Rows of a table that travel together.
 STRIP = 256
 _START = CLASSES * MEMBERS
@@ -118,6 +120,20 @@ def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs of rows of ``x[order]`` that begin at ``first``; short runs all at once, a row of each at a time."""
+    size = np.diff(np.append(first, len(order)))
+    out = x[order[first]]
+    left, k = np.flatnonzero((size > 1) & (size <= SHORT)), 1
+    while len(left):
+        out[left] += x[order[first[left] + k]]
+        k += 1
+        left = left[size[left] > k]
+    for i in np.flatnonzero(size > SHORT):
+        out[i] = x[order[first[i] : first[i] + size[i]]].sum(axis=0)
+    return out
+
+
 def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray, which: np.ndarray, target: np.ndarray, times: np.ndarray, rate: float) -> None:
     """One gradient step: event k is ``target[k]`` in context ``which[k]``, ``times[k]`` times."""
     log_p = _softmax(table, rows)
@@ -129,7 +145,7 @@ def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray
         order = np.argsort(r, kind="stable")
         r = r[order]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        own, g = r[first], np.add.reduceat(gradient[order], first, axis=0)
+        own, g = r[first], _sums(gradient, order, first)
         met[own] += np.add.reduceat(n[order], first)
         seen[own] += np.square(g).mean(axis=1)
         table[own] += rate * g / np.sqrt(seen[own] + CALM)[:, None]
