@@ -6,6 +6,8 @@ of two bytes and more. A sorted table has, for every pair of symbols that makes
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +33,7 @@ class Merger:
         self.ranks = ranks
         tokens = list(ranks)
         self.tokens, self.ids = pa.array(tokens, pa.large_binary()), np.array(list(ranks.values()), np.int32)
+        self.place = {t: k for k, t in enumerate(tokens)}
         symbol = {bytes([b]): b for b in range(256)}
         for t in tokens:
             if len(t) > 1:
@@ -109,7 +112,10 @@ class Merger:
         data, size = gather(raw, start, size, np.arange(len(size)))
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         found = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-        at = pc.fill_null(pc.index_in(found, value_set=self.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(size) * 8 < len(self.tokens):  # a set of all tokens is built anew with each call of index_in
+            at = np.fromiter(map(self.place.get, found.to_pylist(), itertools.repeat(-1)), np.int64, len(size))
+        else:
+            at = pc.fill_null(pc.index_in(found, value_set=self.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         whole, short = at >= 0, (at < 0) & (size > 1) & (size <= LONG)
         count = whole.astype(np.int64)
         parts = [(np.flatnonzero(whole), count[whole], self.ids[at[whole]])]

@@ -28,7 +28,7 @@ def text_col(spark, codec: Codec, ids: Column, on_error: str = "raise") -> Colum
 
 
 def decode_relational(tokens: DataFrame, decoder: DataFrame, special: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, bytes) from rows (id, tok_ix, token_id) by joins; the decoder comes before the specials, and unknown ids stand for nothing."""
+    """(id, bytes) from rows (id, tok_ix, token_id) by joins; the decoder comes before the specials, and unknown ids stand for nothing. A row without a token (as ``posexplode_outer`` makes of an empty list) gives empty bytes."""
     own = decoder.select("token_id", F.col("token").alias("raw"))
     other = special.select("token_id", F.encode("token", "UTF-8").alias("other"))
     rows = tokens.join(own, "token_id", "left").join(other, "token_id", "left").withColumn("b", F.coalesce("raw", "other"))

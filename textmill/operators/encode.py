@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from textmill.functions.bytelevel import encode_col as mapped
 from textmill.functions.codec import BYTE_LEVEL, SENTENCEPIECE, Codec
-from textmill.operators.split import chunk_rows, chunks, marked_chunks
+from textmill.operators.split import chunks, marked_chunks
 
 IDS = ArrayType(IntegerType(), True)
 
@@ -45,17 +45,18 @@ def encode_col(spark, codec: Codec, pattern: str, text: Column, with_special: bo
 
 
 def encode_relational(df: DataFrame, vocab: DataFrame, codec: Codec, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids) by lookup of the distinct chunks, merging of what isn't found, and a join back; ids must be unique. For modes whose chunks are independent."""
+    """(id, ids) by lookup of the distinct chunks, merging of what isn't found, and a join back. Rows are known by a number of their own, so ids may repeat or be null. For modes whose chunks are independent."""
     if codec.mode == SENTENCEPIECE:
         raise ValueError("chunks of this mode depend on each other; use the inline form")
     shared = df.sparkSession.sparkContext.broadcast(codec)
-    rows = chunk_rows(df, id_col, text_col, pattern)
-    distinct = rows.select("chunk").distinct()
+    numbered = df.select(F.monotonically_increasing_id().alias("textmill_row"), F.col(id_col), F.col(text_col))
+    rows = numbered.select("textmill_row", F.struct(id_col).alias("textmill_id"), F.col(text_col).isNull().alias("textmill_none"), F.posexplode_outer(chunks(F.col(text_col), pattern)).alias("chunk_ix", "chunk"))
+    distinct = rows.select("chunk").where("chunk is not null").distinct()
     raw = F.encode("chunk", "UTF-8")
     key = F.encode(mapped(raw), "UTF-8") if codec.mode == BYTE_LEVEL else raw
     looked = distinct.withColumn("token", key).join(vocab, "token", "left")
     merged = encoder_udf(shared)(F.array("chunk"))
     ids = looked.where("rank is not null").select("chunk", F.array("rank").alias("own")).union(looked.where("rank is null").select("chunk", merged.alias("own")))
-    back = rows.join(ids, "chunk").groupBy(id_col).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "own"))), lambda x: x["own"])).alias("ids"))
-    texts = df.select(id_col, text_col)
-    return texts.join(back, id_col, "left").select(id_col, F.when(F.col(text_col).isNotNull(), F.coalesce("ids", F.array().cast(IDS))).alias("ids"))
+    own = F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("chunk_ix", "own")))
+    back = rows.join(ids, "chunk", "left").groupBy("textmill_row").agg(F.first("textmill_id").alias("textmill_id"), F.first("textmill_none").alias("textmill_none"), F.flatten(F.transform(F.array_sort(own), lambda x: x["own"])).alias("ids"))
+    return back.select(F.col("textmill_id")[id_col].alias(id_col), F.when(~F.col("textmill_none"), F.col("ids")).alias("ids"))

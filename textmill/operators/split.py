@@ -20,7 +20,8 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataF
 
 
 def alternation(specials: list[str]) -> str:
-    """A pattern for any of some strings. Shorter ones come first, since the match that ends first is to win."""
+    """A pattern for any of some strings, of which the match that ends first wins. So one that holds another which ends before it can never match, and is left out; of the others, the match that begins first also ends first."""
+    specials = [s for s in specials if not any(t != s and 0 <= s.find(t) < len(s) - len(t) for t in specials)]
     return "|".join(re.escape(s) for s in sorted(specials, key=lambda s: (len(s), s)))
 
 

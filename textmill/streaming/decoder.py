@@ -166,7 +166,7 @@ def decode_stream(tokens: DataFrame, codec: Codec, byte_level: bool = False, tim
         decoder, out = _kind(byte_level)(shared.value, bytes(pending)), []
         if state.hasTimedOut:
             rest = decoder.flush()
-            state.remove()
+            state.update((b"", last))  # the place stays, so that late tokens are still known to be late
             if rest:
                 yield pd.DataFrame([(key[0], last, rest, 0, False)], columns=["stream_id", "seq", "emitted", "pending_bytes", "has_pending"])
             return

@@ -23,8 +23,8 @@ from textmill.streaming.decoder import ByteLevelStreamingDecoder, StreamingDecod
 def _checked(specials: dict[str, int] | None) -> dict[str, int]:
     out = dict(specials or {})
     for token, k in out.items():
-        if not isinstance(token, str) or not token or isinstance(k, bool) or not isinstance(k, int) or not 0 <= k <= 0xFFFFFFFF:
-            raise TokenizerError(f"a special token is a string and an id from 0 on, not {token!r}: {k!r}")
+        if not isinstance(token, str) or not token or isinstance(k, bool) or not isinstance(k, int) or not 0 <= k <= 0x7FFFFFFF:
+            raise TokenizerError(f"a special token is a string and an id from 0 to 2^31 - 1, as columns of ids are of 32 bits with a sign, not {token!r}: {k!r}")
     return out
 
 
