@@ -21,7 +21,7 @@ a result each. Ids may be null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,26 +160,36 @@ def before_last(run: Column, size: Column, back: Column) -> Column:
 class KneserNey:
     """Sorted arrays of hashes: of runs of each length, with probabilities, and of contexts, with weights. ``langs`` are (language, fold)."""
 
-    def __init__(self, langs: list[tuple[str, int]], table: pa.Table):
+    def __init__(self, langs: list[tuple[str, int]], batches: Iterable[pa.RecordBatch]):
         self.langs = langs
-        names = pa.array([f"{f}{x}" for x, f in langs], pa.string())
-        code = pc.fill_null(pc.index_in(pc.binary_join_element_wise(pc.cast(table["fold"], pa.string()), table["lang"], ""), names), -1).to_numpy()
-        size, back = table["size"].to_numpy(), table["back"].to_numpy()
-        run, value = table["run"].to_numpy().view(np.uint64), table["value"].to_numpy()
+        number = {x: k for k, x in enumerate(langs)}
         self.runs, self.weights, self.uniform = {}, {}, np.full(len(langs) + 1, 1 / (1 << _BITS))
-        for k in range(1, ORDER + 1):
-            for which, into, order in ((False, self.runs, k), (True, self.weights, ORDER + k)):
-                at = np.flatnonzero((size == k) & (back == which) & (code >= 0))
-                if k == 1 and not which:
-                    seen = np.bincount(code[at], minlength=len(langs))
-                    self.uniform[:-1][seen > 0] = 1.0 / (seen[seen > 0] + 1)
-                into[k] = self._sorted(([key(run[at], code[at], order)], [value[at]]))
+        into, seen = {False: self.runs, True: self.weights}, np.zeros(len(langs), np.int64)
+        parts: dict = {(back, k): ([], []) for back in into for k in range(1, ORDER + 1)}
+        for b in batches:  # only hashes and values stay
+            lang, fold = b["lang"].dictionary_encode(), b["fold"].to_numpy()
+            names = lang.dictionary.to_pylist()
+            code = np.array([[number.get((x, f), -1) for f in (0, 1)] for x in names], np.int64).reshape(-1, 2)[lang.indices.to_numpy(), fold]
+            kind = b["size"].to_numpy().astype(np.int64) * 2 + b["back"].to_numpy(zero_copy_only=False)
+            run, value = b["run"].to_numpy().view(np.uint64), b["value"].to_numpy()
+            for x in np.unique(kind).tolist():
+                k, back = x // 2, bool(x % 2)
+                at = np.flatnonzero((kind == x) & (code >= 0))
+                if k == 1 and not back:
+                    seen += np.bincount(code[at], minlength=len(langs))
+                parts[back, k][0].append(key(run[at], code[at], ORDER + k if back else k))
+                parts[back, k][1].append(value[at].astype(np.float32))
+        self.uniform[:-1][seen > 0] = 1.0 / (seen[seen > 0] + 1)
+        for (back, k), x in parts.items():
+            into[back][k] = self._sorted(x)
+            x[0].clear()
+            x[1].clear()
 
     @staticmethod
     def _sorted(x: tuple[list, list]) -> tuple[np.ndarray, np.ndarray]:
-        h, v = np.concatenate([*x[0], np.zeros(0, np.uint64)]), np.concatenate([*x[1], np.zeros(0)])
+        h, v = np.concatenate([*x[0], np.zeros(0, np.uint64)]), np.concatenate([*x[1], np.zeros(0, np.float32)])
         order = np.argsort(h)
-        return h[order], v[order].astype(np.float32)
+        return h[order], v[order]
 
     @staticmethod
     def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray, default: float) -> np.ndarray:
@@ -220,8 +230,8 @@ def read_model(uri: str, part: tuple) -> KneserNey:
         wanted = pc.field("lang").isin(names)
         if slices > 1:
             wanted &= pc.field("at").is_null() | pc.field("at").isin([x for x in range(1 << _BITS) if x % slices == slice_])
-        table = ds.dataset(path, filesystem=fs, format="parquet").to_table(filter=wanted)
-        _READ[uri, part] = KneserNey(list(langs), table)
+        batches = ds.dataset(path, filesystem=fs, format="parquet").to_batches(columns=["lang", "fold", "size", "back", "run", "value"], filter=wanted, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False)
+        _READ[uri, part] = KneserNey(list(langs), batches)
     return _READ[uri, part]
 
 
