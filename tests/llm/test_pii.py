@@ -47,6 +47,14 @@ def test_the_screen_misses_no_match(parts, times):
         assert worth(pa.array([text, None], pa.string())).to_pylist() == [True, False]
 
 
+def test_words_are_no_account_numbers():
+    look = pii.finder({"IBAN": pii.PATTERNS["IBAN"]})
+    for text in ("it77 house house old81", "on66 hill when came built42", "on66 stands50 it45 winter22"):
+        assert not look.search(text)
+    for text in ("de44 5001 0517 5407 3249 31", "de44500105175407324931", "de44 500105175407324931", "gb29 nwbk 6016 1331 9268 19", "kz86 125k zt50 0410 0100", "nl91abna0417164300", "it60 x054 2811 1010 0000 0123 456"):
+        assert look.fullmatch(text)
+
+
 @pytest.mark.parametrize("name,part", [("SECRET", "password=" + "x" * 9), ("SECRET", "0af" * 11), ("EMAIL", "ab.c@d.ef"), ("IP", "1.2.3.4"), ("IP", "fe80::1"), ("PHONE", "+1 415 555 0132"), ("SSN", "123-45-6789"), ("IBAN", "de44 5001 0517 5407 3249 31"), ("ACCOUNT", "4111 1111 1111 1111")])
 def test_the_screen_lets_each_kind_through(name, part):
     text = f"words {part} words"

@@ -40,7 +40,8 @@ PATTERNS = {
     "IP": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d])|(?<![\w:.])(?=[0-9a-f:]*\d)(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,5})?)(?![\w:])",
     "PHONE": r"(?<![\w+])\+\d(?:[ .()/-]{0,2}\d){7,14}(?!\d)|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "IBAN": r"\b[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){3,7}(?: ?[a-z0-9]{1,3})?\b(?<=\d)",
+    # the third group of a number is digits and the second has some, or words of four letters would do
+    "IBAN": r"\b[a-z]{2}\d{2} ?[a-z0-9]{4} ?(?=[a-z]{0,3}\d)[a-z0-9]{4} ?\d{4}(?: ?[a-z0-9]{4}){0,4}(?: ?[a-z0-9]{1,3})?\b(?<=\d)",
     "ACCOUNT": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 _WORD = re.compile(r"[　-\udfff]|(?:[0-9A-Za-z]|[^\x00-\x7f　-\udfff])+")
