@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Workspace, small, tokens_in
+from textmill.llm.common import Workspace, small, tidy, tokens_in
 
 SHARD_TOKENS = 1 << 20
 #: Test items that go to every task at a time; more are looked up in rounds of so many.
@@ -84,6 +84,7 @@ def _shard(parts: list, ids: list, begins: list, name: str) -> dict:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The shards of all documents."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
@@ -141,6 +142,7 @@ def _items(rows: list[tuple], phrase: int, shortest: int) -> list[tuple]:
 def term_counts(index: DataFrame, terms: np.ndarray) -> np.ndarray:
     """Places of each term over all shards; every shard sends what it has of them, added up by term."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
         for b in batches:
@@ -246,6 +248,7 @@ def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, ancho
     flat = Parts(near)
     shared = spark.sparkContext.broadcast((terms, plan, flat, [k for k, _ in items]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, plan, near, names = shared.value
         for b in batches:

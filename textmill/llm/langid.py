@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from textmill.llm.common import Tokens, mix, small, tokens_in
+from textmill.llm.common import Tokens, mix, release, small, tidy, tokens_in
 
 BITS = 16
 BLOCK = 128
@@ -164,6 +164,7 @@ def fit(docs: DataFrame, per_language: int = 1000, slack: float = 15.0, seed: in
     ids = ids.groupBy("doc_id").agg((F.min("r") % HELD_OUT == 0).alias("held"))
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(small(ids), "doc_id").select("lang", "text", "held")
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), object)
@@ -186,6 +187,7 @@ def fit(docs: DataFrame, per_language: int = 1000, slack: float = 15.0, seed: in
     model = Model(langs, table[: 1 << BITS], table[1 << BITS :])
     model.slack = slack
 
+    @tidy
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in tokens_in(b.column(1)):
@@ -280,6 +282,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     """A row for each document; ``spans`` count words from 0, ``last`` being the first word after the span."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in tokens_in(b.column(1)):
@@ -297,6 +300,8 @@ def drop_rejected(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataF
 
     @F.arrow_udf(BooleanType())
     def accepted(text: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([label(shared.value, t, penalty).accepted for _, _, t in tokens_in(text)] or [np.zeros(0, bool)]))
+        out = [label(shared.value, t, penalty).accepted for _, _, t in tokens_in(text)]
+        release()
+        return pa.array(np.concatenate(out or [np.zeros(0, bool)]))
 
     return docs.where(accepted(F.col("text").cast("string")))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from textmill.llm.common import Workspace, mix, scramble, small, tokens_in
+from textmill.llm.common import Workspace, mix, release, scramble, small, tidy, tokens_in
 
 SHINGLE = 3
 #: Nodes up to which all pairs of a bucket across components are compared.
@@ -57,6 +57,7 @@ def _hashes(t, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sketch(docs: DataFrame, tables: int = 11, width: int = 2, seed: int = 1) -> DataFrame:
     """For each document (doc_id, text, text_hash) with tokens: its node and the tuples of both collections."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = scramble(seed, 2 * tables * width)
         for b in batches:
@@ -84,6 +85,7 @@ def buckets(nodes: DataFrame, tables: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The sorted 32-bit shingles of the wanted nodes (doc_id, node), from the texts of the documents that stand for them."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, t in tokens_in(b.column(1)):
@@ -126,6 +128,7 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
             both = np.bincount((p[q[at] == p] >> np.uint64(32)).astype(np.int64), minlength=hi - lo)
             out[lo:hi] = both / np.maximum(n + m - both, 1)
         lo = hi
+    release()
     return pa.array(out)
 
 
@@ -172,6 +175,7 @@ def _sharing(docs: DataFrame, hot: DataFrame, nodes: DataFrame, ws: Workspace, t
     """Pairs (a, b) of the nodes (node, root), of different roots, that share a term of their prefixes."""
     kind = "node bigint, root bigint, size int, term bigint"
 
+    @tidy
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):

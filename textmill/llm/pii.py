@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
-from textmill.llm.common import Workspace, mix, strings, tokens_in, unused
+from textmill.llm.common import Workspace, mix, release, strings, tidy, tokens_in, unused
 
 #: Kinds of entities and their patterns; the first that matches at a place wins. All ignore case. None is limited in length where what it finds isn't,
 #: and those that aren't begin where a run of their characters begins and never give one back, so that a long run is read once.
@@ -96,6 +96,7 @@ def mentions(docs: DataFrame, patterns: dict[str, str], window: int) -> DataFram
     """For each mention and each term near it: (uid of the row, entity, term, the term's hash, the context's hash); term is null once for each mention, with the number of tokens near it as ``n``; with a term, n is 0 if that token was near the entity already; entity is null for the tokens of mentions themselves."""
     look, worth = finder(patterns), screen(patterns)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("uid", pa.int64()), ("entity", pa.string()), ("term", pa.string()), ("hash", pa.int64()), ("context", pa.int64()), ("n", pa.int32())])
         for b in batches:
@@ -153,6 +154,7 @@ def occurrences(docs: DataFrame, terms: DataFrame, watched: int = WATCHED_TERMS)
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in terms.toLocalIterator()], np.int64))) if few else None
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, held = 0, []
         sums = np.zeros(len(wanted.value), np.int64) if wanted else None
@@ -236,7 +238,9 @@ def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: in
 
     @F.arrow_udf(BooleanType())
     def screened(text: pa.Array) -> pa.Array:
-        return worth(text)
+        out = worth(text)
+        release()
+        return out
 
     maybe = screened(F.col("text").cast("string"))
     uid = F.xxhash64("doc_id", "text")
@@ -255,13 +259,16 @@ def sanitise(docs: DataFrame, patterns: dict[str, str] | None = None, window: in
     def cleaned(text, actions):
         import pandas as pd
 
-        return pd.DataFrame([rewrite(t, look, dict(a) if a is not None else {}) for t, a in zip(text, actions)], columns=["text", "entities", "generalised", "removed"])
+        out = pd.DataFrame([rewrite(t, look, dict(a) if a is not None else {}) for t, a in zip(text, actions)], columns=["text", "entities", "generalised", "removed"])
+        release()
+        return out
 
     counts = ["entities", "generalised", "removed"] if report else []
     names = [c for c in docs.columns if c.lower() not in counts]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])
     uids, actions, fresh = (unused(docs, x) for x in ("uid", "actions", "new"))
-    marked = docs.where(maybe).withColumn(uids, uid).join(by_row.select(F.col("uid").alias(uids), F.col("actions").alias(actions)), uids, "left").withColumn(fresh, cleaned("text", actions))
+    # an exchange between the two functions, or each task would keep two workers
+    marked = docs.where(maybe).withColumn(uids, uid).hint("rebalance").join(by_row.select(F.col("uid").alias(uids), F.col("actions").alias(actions)), uids, "left").withColumn(fresh, cleaned("text", actions))
     new = {"text": F.col(f"{fresh}.text")} | ({"n_chars": F.when(F.col(f"{fresh}.entities") > 0, F.char_length(f"{fresh}.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in names else {})
     changed = marked.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names], *[F.col(f"{fresh}.{c}") for c in counts])
     return docs.where(~maybe).select("*", *[F.lit(0).alias(c) for c in counts]).union(changed)
