@@ -152,3 +152,31 @@ def test_empty_tables(spark, docs, items):
     docs, items = table(spark, docs), table(spark, items, ITEMS)
     assert dc.find_leaks(docs, items).count() == 0
     assert dc.drop_leaks(docs, items).count() == docs.count()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_crowded_keeps_every_window_that_holds_enough(seed):
+    r = np.random.default_rng(seed)
+    for spread in (40, 3000, 10**7):
+        x = np.concatenate([r.integers(-spread, spread, 300), r.integers(-spread, spread) + r.integers(0, 11, 9)])
+        for needed in (1, 6, 9):
+            want = {i for a in x for i in np.flatnonzero((x >= a) & (x <= a + 10)) if ((x >= a) & (x <= a + 10)).sum() >= needed}
+            got = set(dc.crowded(x, needed, 10).tolist())
+            assert want <= got
+            if spread == 10**7 and needed > 1:
+                assert len(got) < 40
+    assert len(dc.crowded(np.zeros(0, np.int64), 1, 10)) == 0
+
+
+def test_only_crowded_postings_are_mapped_to_documents(monkeypatch):
+    """Common words stand in every document; what was once mapped for each item was all their postings."""
+    r = np.random.default_rng(1)
+    n, size = 200, 250
+    s = dc.Shard(dc._shard([r.integers(0, 300, n * size).astype(np.uint64)], list(range(n)), list(range(0, n * size, size)), "x"))
+    mapped, doc = [], dc.Shard.doc
+    monkeypatch.setattr(dc.Shard, "doc", lambda self, place: (mapped.append(len(place)), doc(self, place))[1])
+    terms = r.permutation(300)[:24].astype(np.int32)
+    parts = dc.Parts([(0, np.arange(24, dtype=np.int32), terms, 15)])
+    at, places = s.find(np.arange(300, dtype=np.uint64)), lambda t: s.places(at[t])
+    assert list(parts.find(s, at, places, 10)) == []
+    assert sum(mapped) < 0.01 * sum(len(places(t)) for t in terms)

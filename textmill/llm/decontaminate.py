@@ -36,8 +36,6 @@ from textmill.llm.common import Workspace, small, tidy, tokens_in
 SHARD_TOKENS = 1 << 20
 #: Test items that go to every task at a time; more are looked up in rounds of so many.
 ROUND_ITEMS = 20_000
-#: Postings that are looked at together for proximity.
-GATHERED = 1 << 18
 
 INDEX = "shard string, ids array<bigint>, begins array<bigint>, n_tokens bigint, terms binary, ends binary, places binary, postings binary"
 MATCH = "doc_id bigint, item_id bigint, kind string, matched int, doc_position int, item_position int"
@@ -190,35 +188,64 @@ class Parts:
         """(document, item, anchors that agree, the first one's place in the document); ``at``: the shard's place of each term, or -1."""
         here = at[self.term] >= 0
         here &= (np.bincount(self.of[here], minlength=len(self.item)) >= self.needed)[self.of]  # parts of which enough is in the shard
-        left = np.zeros(len(self.item), bool)
-        for part, *_ in self._gather(np.flatnonzero(here & self.rarer), self.first_needed, s, places):
-            left[part] = True
-        for part, place, which, doc, group in self._gather(np.flatnonzero(here & left[self.of]), self.needed, s, places):
+        anchor = np.flatnonzero(here)
+        for own in np.split(anchor, np.flatnonzero(np.diff(self.of[anchor])) + 1) if len(anchor) else []:
+            part = self.of[own[0]]
+            needed, rarer = self.needed[part], own[self.rarer[own]]
+            if not len(crowded(self._diagonals(rarer, places)[1], self.first_needed[part], slop)):
+                continue
+            which, diagonal = self._diagonals(own, places)
+            some = crowded(diagonal, needed, slop)
+            which, diagonal = own[which[some]], diagonal[some]
+            place = diagonal + self.offset[which]
+            doc = s.doc(place)
+            # one word over and over makes a crowd, but not of enough anchors
+            distinct = np.unique(doc << np.int64(32) | which) >> np.int64(32)
+            enough = (np.bincount(distinct) >= needed)[doc] if len(doc) else np.zeros(0, bool)
+            which, diagonal, place, doc = which[enough], diagonal[enough], place[enough], doc[enough]
             # windows of places, less the anchors' offsets, that begin at a posting and hold enough
-            step = group.astype(np.int64) * np.int64(1 << 40) + (place - self.offset[which] + np.int64(1 << 20))
+            step = doc * np.int64(1 << 40) + (diagonal + np.int64(1 << 20))
             o = np.argsort(step, kind="stable")
-            step, place, which, doc, part = step[o], place[o], which[o], doc[o], part[o]
+            step, place, which, doc = step[o], place[o], which[o], doc[o]
             end = np.searchsorted(step, step + slop, "right")
-            for i in np.flatnonzero(end - np.arange(len(end)) >= self.needed[part]):
+            for i in np.flatnonzero(end - np.arange(len(end)) >= needed):
                 n = len(np.unique(which[i : end[i]]))
-                if n >= self.needed[part[i]]:
-                    yield int(doc[i]), int(self.item[part[i]]), n, int(place[i : end[i]].min() - s.begins[doc[i]])
-
-    def _gather(self, anchor: np.ndarray, needed: np.ndarray, s: Shard, places) -> Iterator[tuple[np.ndarray, ...]]:
-        """(part, place, anchor, document, a number for part and document) of the postings of some anchors, whole parts at a time, where a document holds as many of a part's anchors as needed."""
-        lo, of = 0, self.of[anchor]
-        while lo < len(anchor):
-            n, hi, own_places = 0, lo, []
-            while hi < len(anchor) and (n < GATHERED or of[hi] == of[hi - 1]):
-                own_places.append(places(self.term[anchor[hi]]))
-                n, hi = n + len(own_places[-1]), hi + 1
-            place, which = np.concatenate(own_places), np.repeat(anchor[lo:hi], [len(p) for p in own_places])
-            doc, part = s.doc(place), self.of[which]
-            _, group = np.unique(part * np.int64(len(s.ids)) + doc, return_inverse=True)
-            distinct = np.unique(group.astype(np.int64) << np.int64(32) | which)
-            enough = np.bincount(distinct >> np.int64(32))[group] >= needed[part] if len(group) else np.zeros(0, bool)
-            yield part[enough], place[enough], which[enough], doc[enough], group[enough]
-            lo = hi
+                if n >= needed:
+                    yield int(doc[i]), int(self.item[part]), n, int(place[i : end[i]].min() - s.begins[doc[i]])
+
+    def _diagonals(self, anchor: np.ndarray, places) -> tuple[np.ndarray, np.ndarray]:
+        """Of the postings of some anchors: which of them, and the place less its offset."""
+        own = [places(t) for t in self.term[anchor]]
+        which = np.repeat(np.arange(len(own)), np.array([len(p) for p in own], np.int64))
+        return which, np.concatenate(own or [np.zeros(0, np.int64)]) - self.offset[anchor][which]
+
+
+def crowded(x: np.ndarray, needed: int, slop: int) -> np.ndarray:
+    """Which of x to look at: all that share a range of ``slop`` with ``needed`` in all, and few others. Two neighbouring ranges, as wide as a window at least, hold any window."""
+    if len(x) < needed:
+        return np.zeros(0, np.int64)
+    wide = slop.bit_length()  # 2 ** wide > slop
+    at = x >> wide
+    at -= at.min() - 1
+    bins = int(at.max()) + 2
+    if bins > 16 * len(x):  # few among many places
+        ordered = np.sort(at)
+        if not (ordered[needed - 1 :] - ordered[: len(ordered) - needed + 1] <= 1).any():
+            return np.zeros(0, np.int64)
+        values, at = np.unique(at, return_inverse=True)
+        n = np.bincount(at)
+        next_to = np.diff(values) == 1
+        pair = n[:-1] + n[1:] >= needed
+        hot = n >= needed
+        hot[:-1] |= next_to & pair
+        hot[1:] |= next_to & pair
+        return np.flatnonzero(hot[at])
+    n = np.bincount(at, minlength=bins)
+    pair = n[:-1] + n[1:] >= needed
+    hot = np.zeros(bins, bool)
+    hot[:-1] = pair
+    hot[1:] |= pair
+    return np.flatnonzero(hot[at]) if pair.any() else np.zeros(0, np.int64)
 
 
 def _match_round(spark, index: DataFrame, items: list[tuple], phrase: int, anchors: int, stretch: int, agree: float, least: int, slop: int) -> DataFrame:
