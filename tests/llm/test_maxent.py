@@ -162,3 +162,31 @@ def test_hard_cases(spark, model, monkeypatch):
 def test_empty_table(spark):
     docs = table(spark, [])
     assert maxent.score(docs, maxent.train(docs)).count() == 0
+
+
+def _case(contexts, rows=64, width=16, seed=7):
+    r = np.random.default_rng(seed)
+    table = r.normal(size=(rows, width)).astype(np.float32)
+    which, target = np.divmod(np.sort(r.choice(contexts * width, 3 * contexts, replace=False)), width)
+    return table, np.zeros(rows, np.float32), np.zeros(rows, np.float32), r.integers(0, rows, (4, contexts)), which, target, r.integers(1, 4, len(which))
+
+
+def test_parts_of_a_step_don_t_show(monkeypatch):
+    table, seen, met, feats, which, target, times = _case(100)
+    whole, parts = ([x.copy() for x in (table, seen, met)] for _ in range(2))
+    maxent._step(*whole, feats, which, target, times, 0.2)
+    monkeypatch.setattr(maxent, "COLUMNS", 7)
+    maxent._step(*parts, feats, which, target, times, 0.2)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and not (whole[0] == table).all()
+    assert (maxent._picked(table, feats, which, target) == maxent._softmax(table, feats)[which, target]).all()
+
+
+def test_a_step_holds_one_row_for_each_context():
+    import tracemalloc
+
+    case = _case(1 << 16)
+    tracemalloc.start()
+    maxent._step(*case, 0.2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * (1 << 16) * 16 * 4 + 4e6

@@ -42,6 +42,8 @@ FIRST, BLOCK = 1 << 13, 1 << 18
 CALM = 1e-10
 #: Rows up to which equal ones are added up in step with those of others.
 SHORT = 24
+#: Contexts whose probabilities are computed at a time: what they take stays in the processor's cache.
+COLUMNS = 1 << 11
 #: Rows of a table that travel together.
 STRIP = 256
 _START = CLASSES * MEMBERS
@@ -120,6 +122,15 @@ def _softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
+def _picked(table: np.ndarray, rows: np.ndarray, which: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log-probability of ``target[k]`` in column ``which[k]`` of rows; ``which`` ascends."""
+    out = np.empty(len(which), table.dtype)
+    for lo in range(0, rows.shape[1], COLUMNS):
+        a, b = np.searchsorted(which, (lo, lo + COLUMNS))
+        out[a:b] = _softmax(table, rows[:, lo : lo + COLUMNS])[which[a:b] - lo, target[a:b]]
+    return out
+
+
 def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sums of runs of rows of ``x[order]`` that begin at ``first``; short runs all at once, a row of each at a time."""
     size = np.diff(np.append(first, len(order)))
@@ -135,12 +146,16 @@ def _sums(x: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _step(table: np.ndarray, seen: np.ndarray, met: np.ndarray, rows: np.ndarray, which: np.ndarray, target: np.ndarray, times: np.ndarray, rate: float) -> None:
-    """One gradient step: event k is ``target[k]`` in context ``which[k]``, ``times[k]`` times."""
-    log_p = _softmax(table, rows)
+    """One gradient step: event k is ``target[k]`` in context ``which[k]``, ``times[k]`` times; ``which`` ascends."""
     n = np.bincount(which, times, rows.shape[1]).astype(np.float32)
-    gradient = np.exp(log_p) * -n[:, None]
-    gradient[which, target] += times.astype(np.float32)
-    gradient /= n.sum()
+    gradient, all_times, times = np.empty((rows.shape[1], table.shape[1]), np.float32), n.sum(), times.astype(np.float32)
+    for lo in range(0, rows.shape[1], COLUMNS):
+        own = gradient[lo : lo + COLUMNS]
+        np.exp(_softmax(table, rows[:, lo : lo + COLUMNS]), out=own)
+        own *= -n[lo : lo + COLUMNS, None]
+        a, b = np.searchsorted(which, (lo, lo + COLUMNS))
+        own[which[a:b] - lo, target[a:b]] += times[a:b]
+        own /= all_times
     for r in rows:
         order = np.argsort(r, kind="stable")
         r = r[order]
@@ -255,8 +270,8 @@ def score(docs: DataFrame, weights: Weights) -> DataFrame:
             total, n = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64)
             for context, s, row, slot in _blocks(b.column(1), w.symbol):
                 contexts, pairs, ctx, events, pair, _, inverse = _events(context, s)
-                by_class = _softmax(w.tables[0], features(contexts, CLASSES, ROWS_CLASS))[ctx, pairs % CLASSES]
-                by_member = _softmax(w.tables[1], features(pairs // CLASSES, pairs % CLASSES, ROWS_MEMBER))[pair, events % MEMBERS]
+                by_class = _picked(w.tables[0], features(contexts, CLASSES, ROWS_CLASS), ctx, pairs % CLASSES)
+                by_member = _picked(w.tables[1], features(pairs // CLASSES, pairs % CLASSES, ROWS_MEMBER), pair, events % MEMBERS)
                 total += np.bincount(row, (by_class[pair] + by_member)[inverse] + w.share[slot], b.num_rows)
                 n += np.bincount(row, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(total, mask=n == 0), pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)], ["doc_id", "n_tokens", "log_probability", "perplexity"])
