@@ -17,6 +17,8 @@ from textmill.functions.bpe import byte_pair_encode
 _NONE = np.int64((1 << 31) - 1)
 #: Longer pieces need more rounds than they are worth, and are merged one by one.
 LONG = 96
+#: Values that are worked on at a time, so that memory beside input and output doesn't grow with the batch.
+PART = 1 << 18
 
 
 def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +27,16 @@ def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.nd
     end = np.cumsum(n)
     if not len(n) or not end[-1]:
         return values[:0], n
-    return values[np.arange(end[-1]) + np.repeat(start[which] - end + n, n)], n
+    out, lo, done = np.empty(end[-1], values.dtype), 0, 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(end, done + PART, "right")))
+        m, stop, first = n[lo:hi], int(end[hi - 1]), start[which[lo:hi]]
+        if hi == lo + 1:
+            out[done:stop] = values[first[0] : first[0] + m[0]]
+        else:
+            out[done:stop] = values[np.arange(done, stop) + np.repeat(first - end[lo:hi] + m, m)]
+        lo, done = hi, stop
+    return out, n
 
 
 class Merger:

@@ -8,7 +8,6 @@ by a 64-bit hash, so a batch of texts becomes a few numpy arrays and no token is
 from __future__ import annotations
 
 import atexit
-import ctypes
 import functools
 import os
 import shutil
@@ -23,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.functions.memory import _TRIM, release  # noqa: F401
+
 #: Rows up to which a side of a join is broadcast, after it was counted; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are turned into arrays at a time; a longer text is a piece of its own.
@@ -71,16 +72,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
-
-
-def release() -> None:
-    """Gives the system what this process has freed. A worker that waits for its next task stands beside busy ones, and an executor's memory is that of all."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
-
-
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow whose worker gives its memory back when the task is over."""
 

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from textmill.functions.codec import SENTENCEPIECE, Codec
+from textmill.operators.encode import recoded, sliced
 
 
 def bytes_col(spark, codec: Codec, ids: Column) -> Column:
     shared = spark.sparkContext.broadcast(codec)
 
     @F.arrow_udf(BinaryType())
-    def decode(x: pa.Array) -> pa.Array:
-        return shared.value.decode_arrow(x)
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, lambda x: shared.value.decode_arrow(x))
 
-    return decode(ids.cast("array<int>"))
+    made = recoded(ids, shared)
+    return decode(ids.cast("array<int>")) if made is None else made
 
 
 def text_col(spark, codec: Codec, ids: Column, on_error: str = "raise") -> Column:

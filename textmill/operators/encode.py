@@ -2,46 +2,93 @@
 
 ``inline`` splits in the JVM and merges in one Arrow function: no shuffle, and the form for large tables. ``relational``
 is the same with joins: distinct chunks are looked up in the vocabulary, only the misses are merged, and ids are joined back.
+Functions give their results a slice of a batch at a time, so a worker holds one batch of chunks and little else.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType
 
 from textmill.functions.bytelevel import encode_col as mapped
-from textmill.functions.codec import BYTE_LEVEL, SENTENCEPIECE, Codec
+from textmill.functions.codec import BYTE_LEVEL, SENTENCEPIECE, Codec, slices
+from textmill.functions.memory import release
 from textmill.operators.split import chunks, marked_chunks
 
 IDS = ArrayType(IntegerType(), True)
 
 
-def encoder_udf(shared):
-    """chunks -> ids, for a codec that was broadcast."""
+def sliced(batches: Iterator, run: Callable[..., pa.Array]) -> Iterator[pa.Array]:
+    """What run makes of each slice of batches of one column of lists or several."""
+    for batch in batches:
+        columns = batch if isinstance(batch, tuple) else (batch,)
+        for lo, n in slices(columns[0]):
+            yield run(*(c.slice(lo, n) for c in columns))
+        release()
 
-    @F.arrow_udf(IDS)
-    def encode(words: pa.Array) -> pa.Array:
-        return shared.value.encode_arrow(words)
 
-    return encode
+def over_chunks(kind, run: Callable[..., pa.Array], special: bool = False):
+    """run as a function of columns of chunks, and of which are special tokens."""
 
+    @F.arrow_udf(kind)
+    def plain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return sliced(batches, run)
 
-def marked_udf(shared):
-    @F.arrow_udf(IDS)
-    def encode(words: pa.Array, special: pa.Array) -> pa.Array:
-        return shared.value.encode_arrow(words, special)
+    @F.arrow_udf(kind)
+    def marked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return sliced(batches, run)
 
-    return encode
+    return marked if special else plain
 
 
-def encode_col(spark, codec: Codec, pattern: str, text: Column, with_special: bool = False) -> Column:
-    shared = spark.sparkContext.broadcast(codec)
+def encoder_udf(shared):
+    """chunks -> ids, for a codec that was broadcast."""
+    return over_chunks(IDS, lambda *x: shared.value.encode_arrow(*x))
+
+
+def _inputs(codec: Codec, pattern: str, text: Column, with_special: bool) -> list[Column]:
     if with_special and codec.specials:
         marked = marked_chunks(text, pattern, list(codec.specials))
-        return marked_udf(shared)(F.transform(marked, lambda x: x["text"]), F.transform(marked, lambda x: x["special"]))
-    return encoder_udf(shared)(chunks(text, pattern))
+        return [F.transform(marked, lambda x: x["text"]), F.transform(marked, lambda x: x["special"])]
+    return [chunks(text, pattern)]
+
+
+def encode_col(spark, codec: Codec, pattern: str, text: Column, with_special: bool = False) -> Column:
+    shared, inputs = spark.sparkContext.broadcast(codec), _inputs(codec, pattern, text, with_special)
+    out = over_chunks(IDS, lambda *x: shared.value.encode_arrow(*x), len(inputs) > 1)(*inputs)
+    out.__dict__["textmill_encoded"] = shared, inputs  # so that decoding them needs no second worker
+    return out
+
+
+def recoded(ids: Column, codec) -> Column | None:
+    """The bytes that a broadcast codec makes of ids that encode_col just made, in one function; None for any other column."""
+    shared, inputs = vars(ids).get("textmill_encoded", (None, []))
+    return over_chunks(BinaryType(), lambda *x: codec.value.decode_arrow(shared.value.encode_arrow(*x)), len(inputs) > 1)(*inputs) if inputs else None
+
+
+def count_col(spark, codec: Codec, pattern: str, text: Column, with_special: bool = False) -> Column:
+    """Numbers of ids. Not an iterator's function, since several of those can't share a worker."""
+    shared, inputs = spark.sparkContext.broadcast(codec), _inputs(codec, pattern, text, with_special)
+
+    def count(*columns: pa.Array) -> pa.Array:
+        sizes = [np.diff(np.asarray(shared.value.encode_arrow(*(c.slice(lo, n) for c in columns)).offsets)) for lo, n in slices(columns[0])]
+        release()
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), mask=~np.asarray(columns[0].is_valid()))
+
+    @F.arrow_udf(LongType())
+    def plain(words: pa.Array) -> pa.Array:
+        return count(words)
+
+    @F.arrow_udf(LongType())
+    def marked(words: pa.Array, special: pa.Array) -> pa.Array:
+        return count(words, special)
+
+    return (marked if len(inputs) > 1 else plain)(*inputs)
 
 
 def encode_relational(df: DataFrame, vocab: DataFrame, codec: Codec, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

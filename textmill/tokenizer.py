@@ -152,7 +152,7 @@ class Tokenizer:
         return _encode.encode_col(spark, self._codec, self.pattern, F.col(text) if isinstance(text, str) else text, with_special)
 
     def count_col(self, text: Column | str, with_special: bool = False) -> Column:
-        return F.size(self.encode_col(text, with_special)).cast("bigint")
+        return _encode.count_col(SparkSession.active(), self._codec, self.pattern, F.col(text) if isinstance(text, str) else text, with_special)
 
     def decode_bytes_col(self, ids: Column | str) -> Column:
         return _decode.bytes_col(SparkSession.active(), self._codec, F.col(ids) if isinstance(ids, str) else ids)
