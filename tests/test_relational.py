@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import decode
+from tests.test_tokenizer import raw
+from textmill.operators import decode, encode
 
 TOKENS = {1: b"a", 2: b"bc", 3: b"\xff", 4: b"x" * 300, 5: b"", 6: b"yy"}
 
@@ -48,3 +50,26 @@ def test_tokens_are_not_shuffled_one_by_one(spark, decoder):
     assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning(doc_id") >= 1 and "Exchange hashpartitioning(token_id" not in plan
     packed = decode.packed(iter([df.limit(10_000).toArrow().to_batches()[0].select([0]).append_column("tok_ix", df.limit(10_000).toArrow()["tok_ix"].chunk(0).cast("int64")).append_column("b", df.select(F.lit(b"ab")).limit(10_000).toArrow().column(0).chunk(0))]))
     assert sum(len(b) for b in packed) == 80
+
+
+def test_blocks(monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK", 4)
+    texts = [None, ["a", " b", "a"], [], ["c", "a"], ["d"] * 6, None, ["a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 17)), pa.array([{"doc_id": k % 3} for k in range(7)]), pa.array(texts, pa.list_(pa.string()))], names=["row", "id", "chunks"])
+    back, shuffled = [], 0
+    for b in encode.blocks(iter([batch])):
+        rows = b.to_pylist()
+        shuffled += len(rows)
+        assert len({r["block"] for r in rows}) == 1 and [r["code"] for r in rows] == list(range(-1, len(rows) - 1))
+        assert rows[0]["key"] == f"b{rows[0]['block']}" and not any(r["docs"] for r in rows[1:])
+        back += [(d["id"]["doc_id"], None if d["codes"] is None else [rows[c + 1]["key"][1:] for c in d["codes"]]) for d in rows[0]["docs"]]
+    assert back == [(k % 3, t) for k, t in enumerate(texts)] and shuffled == 3 + 3 + 2 + 2
+
+
+def test_only_distinct_chunks_of_blocks_are_joined(spark):
+    t = raw()
+    docs = spark.range(300, numPartitions=3).select((F.col("id") % 7).alias("doc_id"), F.expr("repeat('the moment and unseen ', 40) || id").alias("text"))
+    out = t.encode_df(docs, strategy="relational")
+    assert sorted(out.collect()) == sorted(t.encode_df(docs).collect())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow blocks" in plan and "posexplode" not in plan
