@@ -75,7 +75,7 @@ def test_counts_of_null_and_empty_texts(spark):
 
 #: SQL_SCALAR_ARROW_ITER_UDF
 SLICED = "251"
-QUERIES = ["roundtrip_bytelevel", "decode_strict", "decode_sentencepiece", "roundtrip", "encode_sentencepiece"]
+QUERIES = ["roundtrip_bytelevel", "decode_strict", "decode_sentencepiece", "roundtrip", "encode_sentencepiece", "decode_lossy"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -83,3 +83,15 @@ QUERIES = ["roundtrip_bytelevel", "decode_strict", "decode_sentencepiece", "roun
 def test_one_worker_a_task_and_results_in_slices(spark, name):
     plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert re.findall(r"ArrowEvalPython .*, (\d+)$", plan, re.M) == [SLICED]
+
+
+#: Functions of these return numbers of ids, not ids; several share a worker.
+COUNTS = []
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+@pytest.mark.parametrize("name", COUNTS)
+def test_counts_are_made_in_the_worker(spark, name):
+    plan = queries.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"ArrowEvalPython .*, \[(pythonUDF.*)\], \d+$", plan, re.M)
+    assert len(made) == 1 and all(x.endswith("L") for x in made[0].split(", "))
