@@ -35,7 +35,8 @@ def infill(prefix: Column, middle: Column, suffix: Column) -> Column:
     return F.concat(F.lit("<|fim_prefix|>"), prefix, F.lit("<|fim_suffix|>"), suffix, F.lit("<|fim_middle|>"), middle)
 
 
-def token_rows(df: DataFrame, id_col: str, ids_col: str = "ids") -> DataFrame:
+def token_rows(df: DataFrame, id_col: str, ids_col: Column | str = "ids") -> DataFrame:
+    """(id, tok_ix, token_id). Ids that are to be encoded are best given as that column: of a column's name, Spark makes a filter, which would encode them once more."""
     return df.select(id_col, F.posexplode(ids_col).alias("tok_ix", "token_id"))
 
 

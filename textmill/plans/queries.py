@@ -361,7 +361,7 @@ def infill_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def special_span_extract(spark: SparkSession, d: str) -> DataFrame:
-    tokens = chat.token_rows(thoughts(spark, d).select("turn_id", raw().encode_col("text", with_special=True).alias("ids")), "turn_id")
+    tokens = chat.token_rows(thoughts(spark, d), "turn_id", raw().encode_col("text", with_special=True))
     return chat.spans(tokens, tiny.SPECIALS["<|think|>"], tiny.SPECIALS["<|/think|>"], "turn_id")
 
 
