@@ -75,7 +75,7 @@ def test_counts_of_null_and_empty_texts(spark):
 
 #: SQL_SCALAR_ARROW_ITER_UDF
 SLICED = "251"
-QUERIES = ["roundtrip_bytelevel", "decode_strict", "decode_sentencepiece", "roundtrip", "encode_sentencepiece", "decode_lossy", "infill_tokens", "decode_bytes", "special_span_extract", "token_frequency_topk", "encode_raw"]
+QUERIES = ["roundtrip_bytelevel", "decode_strict", "decode_sentencepiece", "roundtrip", "encode_sentencepiece", "decode_lossy", "infill_tokens", "decode_bytes", "special_span_extract", "token_frequency_topk", "encode_raw", "encode_bytelevel"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
