@@ -86,7 +86,7 @@ def test_one_worker_a_task_and_results_in_slices(spark, name):
 
 
 #: Functions of these return numbers of ids, not ids; several share a worker.
-COUNTS = ["compression", "token_count_by_lang"]
+COUNTS = ["compression", "token_count_by_lang", "token_count_cube"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
